@@ -96,17 +96,16 @@ def diff_part(reply: str) -> tuple[str, str | None]:
     return body[: k + 1], body[k + 1 :]
 
 
-def reply_ending(reply: str | None) -> int:
-    """How incomplete a reply ends."""
+def reply_ending(reply: str | None, parts: tuple[str, str | None] | None = None) -> int:
+    """How incomplete a reply ends; ``parts`` is its ``diff_part``, if it is known."""
     if not reply or not reply.strip():
         return COMPLETE
     reply = reply.replace("\r\n", "\n")
-    if CUT_MARK.search(reply):
+    diff, rest = parts or diff_part(reply)
+    if CUT_MARK.search(reply[-80:]):
         # An ellipsis may also end a sentence; it is a mark only after a broken word or within a diff.
-        diff, rest = diff_part(reply)
         if not re.search(r"[a-z]{3}(?:…|\.{3})\s*$", reply) or rest is None:
             return MARKED
-    diff, rest = diff_part(reply)
     if rest is not None:
         tail = rest.strip()
         if diff and (tail in ("```", "</diff>", "~~~") or not tail):
@@ -126,9 +125,9 @@ def patch_ending(patch: str | None, reply: str | None, reply_state: int) -> int:
     if not patch or not patch.strip():
         return COMPLETE
     text = patch.replace("\r\n", "\n")
-    if CUT_MARK.search(text) and not re.search(r"^[ +-].*[.…]{1,3}['\"`)/*]*$", text.rsplit("\n", 1)[-1]):
+    if CUT_MARK.search(text[-80:]) and not re.search(r"^[ +-].*[.…]{1,3}['\"`)/*]*$", text.rsplit("\n", 1)[-1]):
         return MARKED
-    if re.search(r"\[?(?:truncated|output clipped)[\])]\s*$", text):
+    if re.search(r"\[?(?:truncated|output clipped)[\])]\s*$", text[-80:]):
         return MARKED
     if text.endswith("\n"):
         return WEAK if hunk_missing(text) > 0 else COMPLETE

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space as a character class body that Java and RE2 read alike.
@@ -57,6 +57,31 @@ def terms(text: Column) -> Column:
     return F.flatten(each)
 
 
+WORD_CLASS = r"[\p{L}\p{Nd}]"
+
+
+def marked(text: Column) -> Column:
+    """The text with its part breaks marked; the input of ``term_count`` and ``explode_terms``."""
+    return _marked(F.coalesce(text, F.lit("")))
+
+
+def term_count(marked_text: Column) -> Column:
+    """How many terms a marked text has: its parts, and each word of several parts once more."""
+    parts = F.regexp_count(marked_text, F.lit(WORD_CLASS + "+"))
+    several = F.regexp_count(marked_text, F.lit(rf"{WORD_CLASS}+(?:{MARK}{WORD_CLASS}+)+"))
+    return parts + several
+
+
+def explode_terms(rows: DataFrame, marked_text: str, *keep: str) -> DataFrame:
+    """``(*keep, term)``: the terms of a marked text as rows, through generated code only."""
+    words = F.regexp_extract_all(marked_text, F.lit(rf"[\p{{L}}\p{{Nd}}{MARK}]+"), F.lit(0))
+    each = rows.select(*keep, F.explode(words).alias("_w"))
+    low = F.lower("_w")
+    alone = F.array(low)
+    several = F.concat(F.array(F.replace(low, F.lit(MARK), F.lit(""))), F.split(low, MARK))
+    return each.select(*keep, F.explode(F.when(F.contains(F.col("_w"), F.lit(MARK)), several).otherwise(alone)).alias("term"))
+
+
 def unique_terms(text: Column) -> Column:
     """Distinct terms in the order of their first appearance."""
     return F.array_distinct(terms(text))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.text import terms, unique_terms
+from tarnfold.functions.text import explode_terms, marked, term_count, unique_terms
 
 K1, B = 1.5, 0.75
 #: Decimals on which scores are compared, so that the order of summation can't decide a tie.
@@ -34,10 +34,9 @@ def lexical_index(chunks: DataFrame, wanted: DataFrame | None = None) -> Lexical
     ``wanted(corpus_id, term)`` limits postings to the terms that will be asked for;
     lengths and statistics always count all terms.
     """
-    tokens = chunks.select("corpus_id", "chunk_id", terms(F.col("content")).alias("terms"))
-    lengths = tokens.select("corpus_id", F.size("terms").alias("dl"))
-    stats = lengths.groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
-    flat = tokens.select("corpus_id", "chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    texts = chunks.select("corpus_id", "chunk_id", marked(F.col("content")).alias("_m")).withColumn("dl", term_count(F.col("_m")))
+    stats = texts.groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
+    flat = explode_terms(texts, "_m", "corpus_id", "chunk_id", "dl")
     if wanted is not None:
         flat = flat.join(wanted.select("corpus_id", "term").distinct(), ["corpus_id", "term"], "left_semi")
     postings = flat.groupBy("corpus_id", "term", "chunk_id", "dl").agg(F.count("*").alias("f"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.vectors import cosine
+from tarnfold.functions.vectors import dot, norm
 from tarnfold.operators.lexical import DECIMALS, top_k
 
 #: Queries that every worker holds at a time; more of them are further passes.
@@ -77,8 +77,11 @@ def corpus_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     ``queries(query_id, corpus_id, vec)`` meet ``chunks(corpus_id, chunk_id, path,
     start_line, vec)`` by an equi-join on the corpus; every chunk is a candidate.
     """
-    q = queries.select("query_id", "corpus_id", F.col("vec").alias("_q"))
-    scored = chunks.join(q, "corpus_id").select(
-        "query_id", "corpus_id", "chunk_id", "path", "start_line", cosine(F.col("vec"), F.col("_q")).alias("score")
-    )
+    # Norms are taken once per vector, before the join multiplies the rows.
+    q = queries.select("query_id", "corpus_id", F.col("vec").alias("_q"), norm(F.col("vec")).alias("_nq"))
+    c = chunks.select("corpus_id", "chunk_id", "path", "start_line", "vec", norm(F.col("vec")).alias("_nc"))
+    size = F.col("_nq") * F.col("_nc")
+    usable = F.coalesce((F.size("vec") == F.size("_q")) & (size > 0), F.lit(False))
+    score = F.when(usable, dot(F.col("vec"), F.col("_q")) / size).otherwise(0.0)
+    scored = c.join(q, "corpus_id").select("query_id", "corpus_id", "chunk_id", "path", "start_line", score.alias("score"))
     return top_k(scored, k).select("query_id", "rank", "corpus_id", "chunk_id", "path", "start_line", "score")

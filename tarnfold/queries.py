@@ -214,7 +214,8 @@ def plausible_hit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(text.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("f"))
+    rows = table(spark, d, "documents").select("doc_id", text.marked(F.col("text")).alias("_m"))
+    return text.explode_terms(rows, "_m", "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("f"))
 
 
 def unique_terms(spark: SparkSession, d: str) -> DataFrame:

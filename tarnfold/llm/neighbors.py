@@ -291,11 +291,16 @@ def _route(centroids: np.ndarray, parts: np.ndarray, copies: np.ndarray, probes:
     return run
 
 
+def _hits(rep: list, near: list, sims: list) -> pd.DataFrame:
+    lists = lambda x: pd.Series(x, dtype=object)
+    return pd.DataFrame({"rep": pd.Series(rep, dtype="int64"), "near": lists(near), "sims": lists(sims)})
+
+
 def _search(k: int, floor: float, beam: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         indexed = ~group.probe.to_numpy()
         if not indexed.any() or indexed.all():
-            return pd.DataFrame({"rep": [], "near": [], "sims": []})
+            return _hits([], [], [])
         unit = _unit(group.vec)
         points, ids = unit[indexed], group.rep.to_numpy()[indexed]
         order = np.argsort(ids)
@@ -311,7 +316,7 @@ def _search(k: int, floor: float, beam: int):
                 out_rep.append(reps[lo + i])
                 out_near.append(ids[near[i][there[i]]])
                 out_sims.append(sims[i][there[i]])
-        return pd.DataFrame({"rep": out_rep, "near": out_near, "sims": out_sims})
+        return _hits(out_rep, out_near, out_sims)
 
     return run
 

@@ -433,16 +433,18 @@ def joined_pairs(predictions: DataFrame, instances: DataFrame) -> DataFrame:
     return predictions.select("prediction_id", "instance_id", "raw").join(statements, "instance_id", "left").drop("instance_id")
 
 
-def fit_classifier(pairs: DataFrame, bound: int = TRAIN_PAIRS) -> Model:
-    """The model of at most ``bound`` pairs, those of the smallest hashes."""
-    sample = pairs.where("prediction_id is not null").orderBy(F.xxhash64("prediction_id"), "prediction_id").limit(bound)
-    return train([(r.problem_statement, r.raw) for r in sample.select("problem_statement", "raw").collect()])
+def fit_classifier(pairs: DataFrame, predictions: DataFrame, bound: int = TRAIN_PAIRS) -> Model:
+    """The model of about ``bound`` pairs, those of the smallest hashes; never of more than twice as many."""
+    share = min(1.0, bound / max(1, predictions.count()))
+    taken = pairs.where(F.pmod(F.xxhash64("prediction_id", F.lit(7)), F.lit(10_000_000)) < F.lit(int(share * 10_000_000)))
+    sample = sorted(taken.limit(2 * bound).collect(), key=lambda r: r.prediction_id)
+    return train([(r.problem_statement, r.raw) for r in sample])
 
 
 def defects(predictions: DataFrame, instances: DataFrame, bound: int = TRAIN_PAIRS) -> DataFrame:
     """``(prediction_id, defect_type, score)`` of each defective pair."""
     pairs = joined_pairs(predictions, instances)
-    return pairs.mapInPandas(_score(fit_classifier(pairs, bound)), FOUND)
+    return pairs.mapInPandas(_score(fit_classifier(pairs, predictions, bound)), FOUND)
 
 
 def found(predictions: DataFrame, instances: DataFrame) -> DataFrame:

@@ -306,6 +306,9 @@ def _calibrate(model: Model, rows: list[Row], labels: np.ndarray) -> Model:
     for k in range(labels.shape[1]):
         order = np.argsort(-scores[:, k])
         hit = labels[order, k]
+        if hit.sum() < 3 or len(hit) - hit.sum() < 3:  # nothing to calibrate on: the kind is never reported
+            model.thresholds[k] = 1e9
+            continue
         tp = np.cumsum(hit)
         f1 = 2 * tp / (np.arange(1, len(hit) + 1) + max(1.0, hit.sum()))
         best = int(f1.argmax())
@@ -320,8 +323,8 @@ def _name(text: str, rng: np.random.RandomState) -> str:
     return names[rng.randint(len(names))] if names else "the module"
 
 
-def synthesize(pairs: list[tuple[Statement, str]], rng: np.random.RandomState) -> tuple[list[Row], list[list[float]]]:
-    """Rows and labels: each clean pair, and defects made of it."""
+def synthesize(pairs: list[tuple[Statement, str]], replies: list[tuple[str, np.ndarray]], rng: np.random.RandomState) -> tuple[list[Row], list[list[float]]]:
+    """Rows and labels: each clean pair, and defects made of it. ``replies`` with their languages serve for swaps."""
     rows: list[Row] = []
     labels: list[list[float]] = []
 
@@ -329,8 +332,11 @@ def synthesize(pairs: list[tuple[Statement, str]], rng: np.random.RandomState) -
         rows.append(features(statement, raw))
         labels.append([float(k in kinds) for k in KINDS])
 
-    tongues = [languages(prose(r)) for _, r in pairs]
-    voiced = [i for i, t in enumerate(tongues) if t.sum() > 0.9]
+    # Replies by language, so that a swap meets rare languages as well.
+    by_tongue: dict[int, list[str]] = {}
+    for raw, tongue in replies:
+        if tongue.sum() > 0.9:
+            by_tongue.setdefault(int(tongue.argmax()), []).append(raw)
     for n, (statement, raw) in enumerate(pairs):
         add(statement, raw)
         if n % 6 == 0:
@@ -367,10 +373,10 @@ def synthesize(pairs: list[tuple[Statement, str]], rng: np.random.RandomState) -
             add(statement, " ".join(picked))
         if n % 9 == 5 and statement.text:  # a quotation before an answer is no copy
             add(statement, "> " + statement.text.split("\n")[0] + "\n\n" + raw)
-        if voiced and statement.langs.sum() > 0.5:
-            other = voiced[rng.randint(len(voiced))]
-            if tongues[other].argmax() != statement.langs.argmax():
-                add(statement, pairs[other][1], "other_language")
+        others = [t for t in by_tongue if t != statement.langs.argmax()]
+        if others and statement.langs.sum() > 0.5:
+            pool = by_tongue[others[rng.randint(len(others))]]
+            add(statement, pool[rng.randint(len(pool))], "other_language")
     return rows, labels
 
 
@@ -387,14 +393,15 @@ def _credible(statement: Statement, raw: str) -> bool:
 
 def train(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> Model:
     """Two rounds; the second leaves real pairs out that the first finds defective."""
-    base = [(read_statement(s), r) for s, r in pairs if r and not (not _BLANK.sub("", r))]
+    base = [(read_statement(s), r) for s, r in pairs if r and _BLANK.sub("", r)]
+    replies = [(r, languages(prose(r))) for _, r in base if reply_ending(r) == COMPLETE]
     base = [(s, r) for s, r in base if reply_ending(r) == COMPLETE and _credible(s, r)]
     model = None
     for turn in range(2):
         if model is not None:
             base = [(s, r) for s, r in base if not (model.scores(features(s, r)) > model.thresholds).any()] or base
         rng = np.random.RandomState(seed + turn)
-        rows, labels = synthesize(base, rng)
+        rows, labels = synthesize(base, replies, rng)
         if not rows:
             return Model(np.zeros((BUCKETS, len(KINDS))), np.zeros((DENSE, len(KINDS))), np.full(len(KINDS), 1e9))
         target = np.array(labels)

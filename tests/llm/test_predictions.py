@@ -15,7 +15,7 @@ def sentence(rng):
 
 
 def diff(rng):
-    body = "".join(f" line {rng.randint(0, 99)}\n" for _ in range(rng.randint(2, 9)))
+    body = "".join(f" line {'y' * rng.randint(0, 60)}\n" for _ in range(rng.randint(2, 9)))
     n = body.count("\n") + 1
     return f"diff --git a/f.py b/f.py\n--- a/f.py\n+++ b/f.py\n@@ -1,{n} +1,{n} @@\n-old {rng.random()}\n+new {rng.random()}\n{body}"
 
@@ -119,17 +119,23 @@ FILES = "corpus_id string, path string, content string, chunk_id bigint, start_l
 NAMES = "reader writer buffer request parser module counter window handle session".split()
 
 
-def code(rng, n=8):
+def code(rng, n=14):
+    """Python of varied statements, as people write it."""
     out = ["import json", ""]
+    name = lambda: rng.choice(NAMES) + rng.choice(["", "_"]) + rng.choice(NAMES)
+    value = lambda: rng.choice([lambda: f"{name()}({name()})", lambda: f"{name()}[{rng.randint(0, 99)}]", lambda: f"{name()}.{name()}", lambda: f"not {name()} or {name()} > {rng.randint(0, 99)}", lambda: f"[{name()}, {name()}]", lambda: f'f"{{{name()}}}: {rng.randint(0, 999)}"', lambda: f"{name()} - {name()} % {rng.randint(2, 9)}", lambda: f"{{{name()}: {name()}}}"])()
     for _ in range(n):
-        a, b, c = (rng.choice(NAMES) + "_" + rng.choice(NAMES) for _ in range(3))
-        out += [f"def {a}({b}, limit={rng.randint(1, 9)}):", f"    if not {b}:", f'        raise ValueError("{c} {rng.randint(0, 999)}")', f"    {c} = [{b}[{rng.randint(0, 9)}] for x in range({rng.randint(1, 99)})]", rng.choice([f"    return {c}", f"    for y in {c}: {b}.append(y + {rng.randint(0, 99)})", f"    {b}.{a}({c})"]), ""]
+        kind = rng.randint(0, 6)
+        out += [
+            [f"def {name()}({name()}, {name()}={rng.randint(1, 9)}):", f"    return {value()}", ""], [f"{name()} = {value()}"], [f"for {name()} in {value()}:", f"    {name()}({value()}, {value()})"],
+            [f"if {value()}:", f"    raise ValueError({value()})"], [f"assert {value()} == {value()}, {value()}"], [f"class {name().title()}:", f"    {name()}: str = {value()}", ""], [f"with {value()} as {name()}:", f"    {name()}.{name()}[{value()}] += {value()}"],
+        ][kind]
     return "\n".join(out)
 
 
 def test_files_not_written_by_hand(spark):
     rng = random.Random(8)
-    shared = code(rng, 12)
+    shared = code(rng, 30)
     rows, want = [], set()
 
     def add(corpus, path, text, flagged=False):

@@ -23,13 +23,13 @@ rows likewise; an item of fewer than 12 words can't leak; empty tables give no r
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ MASKS = ("110110111011", "101101011101", "111010010111")
 MIN_RUN = 12
 MAX_SUBSTITUTIONS = 2
 BLOCK_WORDS = 1_000_000
-WORD = regex.compile(r"[\p{L}\p{N}]+")
+WORD = re.compile(r"[^\W_]+")
 
 OVERLAPS = (
     "doc_id bigint, item_id bigint, doc_word int, item_word int, words int, equal_words int, longest_run int, item_words int"

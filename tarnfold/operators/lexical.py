@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.text import explode_terms, marked, term_count, unique_terms
+from tarnfold.functions.text import explode_terms, marked, term_count
+from tarnfold.session import cut
 
 K1, B = 1.5, 0.75
 #: Decimals on which scores are compared, so that the order of summation can't decide a tie.
@@ -39,14 +40,16 @@ def lexical_index(chunks: DataFrame, wanted: DataFrame | None = None) -> Lexical
     flat = explode_terms(texts, "_m", "corpus_id", "chunk_id", "dl")
     if wanted is not None:
         flat = flat.join(wanted.select("corpus_id", "term").distinct(), ["corpus_id", "term"], "left_semi")
-    postings = flat.groupBy("corpus_id", "term", "chunk_id", "dl").agg(F.count("*").alias("f"))
+    # The index is written once to the shared folder: frequencies and scores both read it.
+    postings = cut(flat.groupBy("corpus_id", "term", "chunk_id", "dl").agg(F.count("*").alias("f")))
     df = postings.groupBy("corpus_id", "term").agg(F.count("*").alias("df"))
     return LexicalIndex(postings, df, stats, chunks)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """``(query_id, corpus_id, qpos, term)`` of ``queries(query_id, corpus_id, text)``."""
-    return queries.select("query_id", "corpus_id", F.posexplode(unique_terms(F.col("text"))).alias("qpos", "term"))
+    """``(query_id, corpus_id, term)``: the distinct terms of ``queries(query_id, corpus_id, text)``."""
+    rows = queries.select("query_id", "corpus_id", marked(F.col("text")).alias("_m"))
+    return explode_terms(rows, "_m", "query_id", "corpus_id").distinct()
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     The query side is as large as the queries' distinct terms, so postings of other
     terms end before they are counted.
     """
-    wanted = query_terms(queries)
+    wanted = cut(query_terms(queries))
     index = lexical_index(chunks, wanted)
     n, df, f, dl, avg = (F.col(c).cast("double") for c in ("n", "df", "f", "dl", "avg_dl"))
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -64,7 +67,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
         index.postings.join(index.df, ["corpus_id", "term"])
         .join(index.stats, "corpus_id")
         .select("corpus_id", "term", "chunk_id", part.alias("part"))
-        .join(wanted.drop("qpos"), ["corpus_id", "term"])
+        .join(wanted, ["corpus_id", "term"])
     )
     # Scores are compared after rounding (``DECIMALS``), so the order of a plain sum can't matter.
     return hits.groupBy("query_id", "corpus_id", "chunk_id").agg(F.sum("part").alias("score"))

@@ -121,14 +121,14 @@ def _pack_share(capacity: int):
     return run
 
 
-def pack_documents(sizes: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> DataFrame:
+def pack_documents(sizes: DataFrame, capacity: int = CAPACITY, share: int = SHARE, total: int | None = None) -> DataFrame:
     """``(share, doc_id, part, bin_no, offset, tokens)``; a container is ``(share, bin_no)``.
 
     ``part`` counts the pieces of a document that alone exceeds the capacity; each
-    but the last fills a container.
+    but the last fills a container. ``total`` is the number of documents if it is
+    known; counting ``sizes`` would make them twice.
     """
-    total = sizes.count()
-    shares = max(1, round(total / share))
+    shares = max(1, round((sizes.count() if total is None else total) / share))
     pieces = sizes.select(
         "doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("tokens") / capacity) - 1).cast("int"))).alias("part")
     ).select(

@@ -25,6 +25,10 @@ def _shares(predictions: DataFrame) -> DataFrame:
     return truncation.shares(predictions, truncation.truncated(predictions))
 
 
+def _packed(documents: DataFrame) -> DataFrame:
+    return packing.pack_documents(packing.token_sizes(documents), total=documents.count())
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _over(neighbors.found, "chunk_vectors"),
@@ -39,8 +43,8 @@ def queries() -> dict[str, Query]:
         "p5_redacted": _over(credentials.redacted, "chunks"),
         "p6_found": _over(handwritten.found, "chunks", "corpora"),
         "p6_kinds": _over(handwritten.judged_files, "chunks", "corpora"),
-        "p7_places": _over(lambda d: packing.pack_documents(packing.token_sizes(d)), "documents"),
-        "p7_fill": _over(lambda d: packing.fill_report(packing.pack_documents(packing.token_sizes(d))), "documents"),
+        "p7_places": _over(_packed, "documents"),
+        "p7_fill": _over(lambda d: packing.fill_report(_packed(d)), "documents"),
         "p8_found": _over(leakage.found, "documents", "eval_items"),
         "p8_report": _over(lambda d, e: leakage.leak_report(leakage.leaked_overlaps(d, e)), "documents", "eval_items"),
         "p9_found": _over(encoding.found, "documents"),

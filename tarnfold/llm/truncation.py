@@ -52,7 +52,7 @@ STATUS_LINE = re.compile(r"^\W*\w[\w -]*:\s+\d+ \w+(?:, \d+ \w+)*$")
 CLOSERS = ("\n```", "\n</diff>", "\n~~~")
 
 COMPLETE, WEAK, BROKEN, MARKED = 0, 1, 2, 3
-FLAGS = "prediction_id bigint, field_name string, ending int"
+FLAGS = "prediction_id bigint, field_name string, source string, ceiling boolean, ending int, characters int, bytes int"
 
 
 def hunk_missing(diff: str) -> int:
@@ -155,11 +155,12 @@ def patch_ending(patch: str | None, reply: str | None, reply_state: int) -> int:
 def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for i, raw, patch in zip(batch.prediction_id, batch.raw, batch.model_patch, strict=True):
-            state = reply_ending(raw)
-            rows.append((i, "raw", state))
-            rows.append((i, "model_patch", patch_ending(patch, raw, state)))
-        yield pd.DataFrame(rows, columns=["prediction_id", "field_name", "ending"])
+        for r in batch.itertuples(index=False):
+            state = reply_ending(r.raw)
+            for field, value, ending in (("raw", r.raw, state), ("model_patch", r.model_patch, patch_ending(r.model_patch, r.raw, state))):
+                if ending > COMPLETE:
+                    rows.append((r.prediction_id, field, r.source, r.ceiling, ending, len(value), len(value.encode("utf-8", "surrogatepass"))))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FLAGS.split(", ")])
 
 
 def at_ceiling(stop_reason: Column) -> Column:
@@ -230,21 +231,15 @@ def significant_lengths(predictions: DataFrame, fdr: float = FDR) -> DataFrame:
 
 def truncated(predictions: DataFrame) -> DataFrame:
     """``(prediction_id, field_name, source, reason)`` of each truncated value."""
-    endings = predictions.select("prediction_id", "raw", "model_patch").mapInPandas(_endings, FLAGS).where(F.col("ending") > COMPLETE)
+    ceiling = at_ceiling(F.col("stop_reason")).alias("ceiling")
+    # Texts end here: what goes on are flags and lengths of the incomplete values.
+    rows = predictions.select("prediction_id", F.col("model_name_or_path").alias("source"), ceiling, "raw", "model_patch").mapInPandas(_endings, FLAGS)
     marks = significant_lengths(predictions).where(F.col("measure") != TOKEN_UNIT).select(
         F.col("source").alias("s"), F.col("field_name").alias("f"), "measure", F.col("length").alias("l")
     )
-    value = F.when(F.col("field_name") == "raw", F.struct(F.char_length("raw").alias("c"), F.octet_length("raw").alias("b"))).otherwise(
-        F.struct(F.char_length("model_patch").alias("c"), F.octet_length("model_patch").alias("b"))
-    )
-    rows = (
-        predictions.select("prediction_id", F.col("model_name_or_path").alias("source"), at_ceiling(F.col("stop_reason")).alias("ceiling"), "raw", "model_patch")
-        .join(endings, "prediction_id")
-        .select("prediction_id", "field_name", "source", "ceiling", "ending", value.alias("v"))
-    )
     fits = (
         F.col("source").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f"))
-        & (F.col("l") == F.when(F.col("measure") == "bytes", F.col("v.b")).otherwise(F.col("v.c")))
+        & (F.col("l") == F.when(F.col("measure") == "bytes", F.col("bytes")).otherwise(F.col("characters")))
     )
     # At most a few lengths per source and field are significant; the join is on source and field.
     flagged = rows.join(marks, fits, "left").groupBy("prediction_id", "field_name").agg(

@@ -333,7 +333,7 @@ def caps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_line_preview(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("chunk_id", text.first_line(F.col("content")).alias("preview")).where("preview rlike '^[ -~]*…?$'")
+    return _chunks(spark, d).select("chunk_id", text.first_line(F.col("content")).alias("preview"))
 
 
 def stop_reason(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tarnfold import queries
 from tarnfold.operators import chunking, context, embedding, hybrid, lexical, logs, prompts, recall, semantic
 from tarnfold.operators.config import ChunkConfig, effective_overlap, effective_window
 from tarnfold.plans import predict, search
@@ -164,3 +165,19 @@ def test_streaming_windows_and_cache(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 1
+
+
+def test_previews_of_lines_outside_ascii_equal_brute_force(spark, tmp_path):
+    """Also where the cut at 100 bytes splits a character of two, three or four bytes."""
+    texts = [c * n + tail for c in "é漢😀" for n in (1, 24, 25, 26, 33, 34, 49, 50, 51) for tail in ("", "a", "\tb " * 30)]
+    texts += ["", " \n\u3000\n\tnaïve\tline \r\nnext", "a\tb", "plain", "x" * 99 + "é", "x" * 100, "x" * 101, None]
+    rows = [("c", i, f"{i}.py", 1, 1, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, CHUNKS).write.parquet(f"{tmp_path}/chunks.parquet")
+
+    def brute(value):
+        line = next((x.strip() for x in value.split("\n") if x.strip()), "")
+        raw = line.encode()
+        return raw[:100].decode("utf-8", "replace") + "…" if len(raw) > 100 else line
+
+    got = {r.chunk_id: r.preview for r in queries.first_line_preview(spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts) if t is not None}

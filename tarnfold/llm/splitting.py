@@ -11,8 +11,10 @@ boundaries depend on nearby text only, the cuts fall into step again after an
 edit, and only neighbouring pieces change.
 
 Piece i consists of the last ``overlap`` whole lines before its cut and the new
-text up to the next cut. Whole lines are dropped from the overlap (the farthest
-first) while it is longer than half the limit, so a limit is never exceeded.
+text up to the next cut. The new text is made long enough to hold the next overlap
+where the limit permits. Whole lines are dropped from an overlap (the farthest
+first) only while it leaves no room for the rest of the line after the cut or, if
+that line alone exceeds the limit, for ``limit / MIN_SHARE`` characters of it.
 
 Defined results: null content gives no piece, nor does content within the limit
 (both are filtered by the scan, before Python); an unknown corpus has the default
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from tarnfold.operators.config import DEFAULT_OVERLAP, effective_overlap
 
 LIMIT = 3000
-MIN_SHARE = 4  # a piece has at least limit / MIN_SHARE characters of new text
+MIN_SHARE = 4  # a piece has limit / MIN_SHARE characters of new text if overlap and line ends permit
 LANDMARK_BITS = 8  # one landmark in 256 characters on average
 GEAR_SPAN = 48
 SNAP_CHARS = 320
@@ -125,9 +127,14 @@ def split_text(text: str, limit: int = LIMIT, overlap_lines: int = 0) -> list[tu
         if n - start <= limit:
             pieces.append((start, cut, n))
             return pieces
-        room = limit - (cut - start)
-        low = cut + max(1, min(limit // MIN_SHARE, room // 2))
-        high = cut + room
+        high = start + limit
+        low = cut + max(1, min(limit // MIN_SHARE, (high - cut) // 2))
+        if overlap_lines > 0:  # the new text, else the piece, is to hold the lines that the next piece repeats, or as many as fit
+            fits = int(np.searchsorted(line_starts, high, side="right")) - 1
+            last = int(np.searchsorted(line_starts, cut)) + overlap_lines
+            if last > fits:
+                last = min(int(np.searchsorted(line_starts, start)) + overlap_lines, fits)
+            low = max(low, int(line_starts[last]))
         first = int(np.searchsorted(marks, low))
         mark = int(marks[first]) if first < len(marks) and marks[first] <= high else 0
         if mark:
@@ -136,16 +143,26 @@ def split_text(text: str, limit: int = LIMIT, overlap_lines: int = 0) -> list[tu
                 end = _best(rank, low, high, mark)
         else:
             end = _best(rank, low, high, high)
+        if rank[end] < 2:  # a short piece rather than a cut within a line that the limit has room for
+            at = int(np.searchsorted(line_starts, low)) - 1
+            if line_starts[at] > cut and rank[line_starts[at]] >= 2 and _line_end(line_starts, at, n) - line_starts[at] <= limit:
+                end = int(line_starts[at])
         pieces.append((start, cut, end))
-        start = cut = end
-        # Whole lines before the cut; a cut within a line has no whole line of its own.
+        held, start = start, end
+        cut = end
+        # Whole lines before the cut; after a cut within a line its beginning is repeated along with them.
         at = int(np.searchsorted(line_starts, end, side="right")) - 1
-        if overlap_lines > 0 and line_starts[at] == end:
-            floor = pieces[-1][1]  # never repeat what the piece before only repeated itself
-            take = at - overlap_lines
-            while take < at and (take < 0 or line_starts[take] < floor or end - line_starts[take] > limit // 2):
+        if overlap_lines > 0:
+            new = _line_end(line_starts, at, n) - end
+            new = new if new <= limit else limit // MIN_SHARE
+            take = max(at - overlap_lines, int(np.searchsorted(line_starts, held)))
+            while take < at and end - line_starts[take] + new > limit:
                 take += 1
-            start = int(line_starts[take])
+            start = int(line_starts[take]) if take < at else end
+
+
+def _line_end(line_starts: np.ndarray, line: int, n: int) -> int:
+    return int(line_starts[line + 1]) if line + 1 < len(line_starts) else n
 
 
 def split_batches(limit: int):

@@ -35,6 +35,34 @@ def test_natural_boundaries_overlap_and_local_effect_of_an_edit():
     assert len(cuts & again) >= len(cuts) - 4
 
 
+def lost_lines(value, limit, overlap):
+    """Pieces that share fewer lines with the piece before than asked for, though one more would fit."""
+    pieces, out = splitting.split_text(value, limit, overlap), []
+    starts = [0] + [i + 1 for i, c in enumerate(value) if c == "\n"]
+    for (held, _, _), (a, n, e) in zip(pieces, pieces[1:]):
+        before = [s for s in starts if held <= s < a]
+        line = min([s for s in starts if s > n] + [len(value)]) - n
+        room = e - before[-1] <= limit if before and line <= limit else before and n - before[-1] + limit // splitting.MIN_SHARE <= limit
+        if value[a:n].count("\n") < overlap and room and value[before[-1] : n].count("\n"):
+            out.append((a, n, e))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 60), max_size=40), st.integers(20, 120), st.integers(1, 6))
+def test_overlap_lines_are_kept_where_the_limit_permits(lengths, limit, overlap):
+    assert not lost_lines("\n".join("x" * k for k in lengths), limit, overlap)
+
+
+@pytest.mark.parametrize("width,overlap", [(120, 16), (150, 12), (400, 5), (501, 8), (60, 16), (40, 30)])
+def test_long_lines_and_long_overlaps_are_shared(width, overlap):
+    rng = random.Random(width)
+    text = "".join("".join(rng.choice("abcdefgh_ ") for _ in range(width - 1)) + "\n" for _ in range(100))
+    pieces = splitting.split_text(text, 3000, overlap)
+    shared = min(overlap, 3000 // width - 1)  # one new line has to fit as well
+    assert all(text[a:n].count("\n") == shared and n < e and e - a <= 3000 for a, n, e in pieces[1:])
+
+
 def test_split_rows_lines_and_dirty_input(spark):
     long = "\n".join(f"row {i} " + "x" * 20 for i in range(300))
     rows = [(1, "c", "a.py", 11, long), (2, "c", "b.py", 1, None), (3, "c", "c.py", 1, "short"), (4, "unknown", "d.js", None, "y" * 7000), (5, None, None, 1, long), (1, "c", "a.py", 11, long)]

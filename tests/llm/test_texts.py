@@ -184,6 +184,18 @@ def test_damage_is_found_and_restored(spark):
     assert encoding.found(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("copy", ["{}", "{} in run {}"])
+def test_frequent_damage_is_no_proof_of_itself(spark, copy):
+    """Copies and near copies of a garbled document, as many as all others, whose words are rare elsewhere."""
+    rare = "Die Größe wird später geprüft"
+    docs = [(i, CLEAN[i % 5] if i % 60 else rare) for i in range(1, 300)]
+    bad = [(1000 + i, copy.format(damage(rare, "utf-8", "cp1252"), i)) for i in range(300)]
+    df = spark.createDataFrame(docs + bad, "doc_id bigint, text string")
+    fixed = {r.doc_id: r.text for r in encoding.restored(df).collect()}
+    assert fixed == {1000 + i: copy.format(rare, i) for i in range(300)}
+    assert {r.doc_id for r in encoding.found(df).collect()} == set(fixed)
+
+
 # ------------------------------------------------------------------ credentials
 
 KEY = "MIIEowIBAAKCAQEAu1SU1LfVLPHCozMxH2Mo4lgOEePzNm0tRgeLezV6ffAt0gun"

@@ -10,7 +10,7 @@ language (file extension). With it each chunk gets, in one vectorised pass,
 * its naming style (underscores against humps), compared with what is usual in the
   corpus for that language,
 * marks of program output and licence notices of others in comments,
-* hashes of ``SHINGLE`` successive code lines, a third of which (by value) is kept.
+* hashes of ``SHINGLE`` successive code lines.
 
 Chunks are summed into files, so repeated windows weigh alike in sums and
 quotients. A file is
@@ -49,7 +49,6 @@ LISTS = ("lock", "sum", "json")
 MARKUP = ("css", "html", "htm", "svg", "xml")
 VENDOR_DIRS = ("vendor", "vendors", "third_party", "third-party", "thirdparty", "3rdparty", "external", "extern", "ext", "deps", "contrib", "node_modules", "bower_components", "site-packages", "Pods", "Godeps")
 SHINGLE = 6
-KEEP_ONE_IN = 3
 LONG_LINE = 240
 NAME_MAX = 40
 SYMBOLS = 65
@@ -180,7 +179,7 @@ CHUNK_SCHEMA = "corpus_id string, path string, ext string, language string, hold
 
 
 def measure_texts(texts: list[str], bits: np.ndarray) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
-    """All measures of each text, and its kept shingles."""
+    """All measures of each text, and its shingles."""
     b = Batch(texts)
     owner = np.repeat(np.arange(b.count), b.sizes)
     total = lambda where, weights=None: np.bincount(owner[where], weights=weights, minlength=b.count).astype(float)
@@ -262,7 +261,7 @@ def measure_texts(texts: list[str], bits: np.ndarray) -> tuple[dict[str, np.ndar
             h = h * np.uint64(0xD6E8FEB86659FD93) + whole[codes[k : k + len(h)]]
         h ^= h >> np.uint64(31)
         same = line_owner[codes[: len(h)]] == line_owner[codes[SHINGLE - 1 :]]
-        kept = np.flatnonzero(same & (h % np.uint64(KEEP_ONE_IN) == 0))
+        kept = np.flatnonzero(same)
         of = line_owner[codes[kept]]
         values = h[kept].astype(np.int64)
         cuts = np.searchsorted(of, np.arange(b.count + 1))
@@ -307,7 +306,7 @@ def measured_files(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 def borrowed_share(shingles: DataFrame, corpora: DataFrame) -> DataFrame:
     """``(corpus_id, path, n_shingles, borrowed)``: shingles of a file that other repositories have as well."""
     repos = corpora.groupBy("corpus_id").agg(F.min("repo").alias("repo"))
-    with_repo = shingles.join(repos, "corpus_id", "left").withColumn("repo", F.xxhash64(F.coalesce("repo", "corpus_id")))
+    with_repo = shingles.join(repos, "corpus_id", "left").select("shingle", F.xxhash64(F.coalesce("repo", "corpus_id")).alias("repo"))
     spread = with_repo.groupBy("shingle").agg((F.min("repo") != F.max("repo")).alias("shared")).where("shared").drop("shared")
     marked = shingles.join(spread.withColumn("b", F.lit(1)), "shingle", "left")
     return marked.groupBy("corpus_id", "path").agg(F.count("*").alias("n_shingles"), F.count("b").alias("borrowed"))

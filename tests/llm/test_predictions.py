@@ -164,3 +164,17 @@ def test_files_not_written_by_hand(spark):
     got = {(r.corpus_id, r.path) for r in handwritten.found(chunks, corpora).collect()}
     assert got == want, (sorted(want - got), sorted(got - want))
     assert handwritten.found(chunks.where("false"), corpora.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("lines", [8, 9, 10, 13])
+def test_short_copies_are_found(spark, lines):
+    """All shingles count: a copied file with three of them is enough, whatever their hashes."""
+    rng = random.Random(lines)
+    rows, want = [], set()
+    for i in range(20):
+        shared = "\n".join(f"{rng.choice(NAMES)}_{rng.randint(0, 10**6)} = {rng.choice(NAMES)}({rng.choice(NAMES)}[{'+-*/%'[k % 5]}{rng.choice(NAMES)}]" + ")" * (k % 3) + "," * (k % 4) for k in range(lines))
+        rows += [(c, f"src/copy{i}.py", shared, i, 1) for c in ("c1", "c2")]
+        want |= {(c, f"src/copy{i}.py") for c in ("c1", "c2")}
+    rows += [(c, f"src/m{i}.py", code(rng), 100 + i, 1) for c in ("c1", "c2") for i in range(20)]
+    corpora = spark.createDataFrame([(c, f"o/{c}") for c in ("c1", "c2")], "corpus_id string, repo string")
+    assert {(r.corpus_id, r.path) for r in handwritten.found(spark.createDataFrame(rows, FILES), corpora).collect()} == want

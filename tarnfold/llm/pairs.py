@@ -210,7 +210,7 @@ def features(statement: Statement, raw: str | None) -> tuple[np.ndarray, np.ndar
     agree = float(mine @ theirs) / max(1e-9, float(np.linalg.norm(mine) * np.linalg.norm(theirs))) if both > 0 else 1.0
     added = len(s) - again
     # The statement's first line names what it is about; stock sentences alone don't make a copy.
-    titled = len(statement.title.intersection(tokens[:400])) / len(statement.title) if statement.title and repeated > 0.3 else 0.0
+    titled = len(statement.title.intersection(tokens)) / len(statement.title) if statement.title and repeated > 0.3 else 0.0
     return buckets, weights, np.array((
         1.0,
         blank,

@@ -106,6 +106,14 @@ def test_pair_defects_on_held_out_pairs(spark):
         assert len(true & flagged) >= 0.9 * len(true) and len(flagged - true) <= 0.1 * len(flagged), (kind, len(true), len(flagged), len(true & flagged))
 
 
+def test_a_copy_may_name_the_title_late():
+    """The statement's first line counts wherever the reply repeats it, also after a long quoted log."""
+    log = " ".join(f"step{i} failed" for i in range(300))
+    statement = pairs.read_statement(f"Zebra pagination breaks\n{log}")
+    early, late = (pairs.features(statement, t)[2] for t in (f"Zebra pagination breaks\n{log}", f"{log}\nZebra pagination breaks"))
+    assert late[-2] == early[-2] == 1 and late[-1] == early[-1] == 0
+
+
 def test_pairs_of_small_and_empty_tables(spark):
     instances = spark.createDataFrame([("a", None)], "instance_id string, problem_statement string")
     rows = spark.createDataFrame([(1, "a", "m", "", None, None, None, None), (2, "gone", "m", "", "Fine.", None, None, None)], PRED)

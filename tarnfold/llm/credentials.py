@@ -41,14 +41,28 @@ MASK = "[REDACTED]"
 
 # --------------------------------------------------------------------------- values
 
-_PLACEHOLDER = re.compile(
-    r"^(?:<.*|\$.*|\{.*|%.*|\*+|[xX]+|\.+|-+|_+|#+|\[.*|(?:x{3,}[-_]?)+)$|"
-    r"replace|change[-_ ]?me|your[-_ ]|placeholder|redacted|dummy|todo|fixme|insert|example|sample|not[-_]?a[-_]?real|"
-    r"^(?:none|null|nil|true|false|undefined|empty|test|secret|password|passwd|token|bearer|basic|string|str|value|key|username|user|admin|root)$|"
-    r"getenv|environ|process\.env|\bvault\b|secrets?[./:]|\{\{|\$\{|\$\(|^env[.:]|^os\.|^ref:|^arn:|^file:",
+#: Values that stand for another one: masks, references to a variable, a template or a store.
+_REFERENCE = re.compile(
+    r"^(?:<.*>?|\{.*|\*+|[xX]+|\.+|-+|_+|#+|\[.*\]?|(?:x{3,}[-_]?)+|%[A-Za-z_]\w*%|%[sdr]|%\(\w+\)s|\$[A-Z_][A-Z0-9_]*|\$[a-z_]+)$|"
+    r"\$\{|\$\(|\{\{|getenv|\benviron\b|process\.env|\bvault\b|secrets?[./:]|^env[.:]|^os\.|^ref:|^arn:|^file:",
     re.I,
 )
-_IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z_]*$|^[a-z]+(?:[A-Z][a-z]+)+$")
+_REFERENCE_CASED = re.compile(r"^\$(?:[A-Z_][A-Z0-9_]*|[a-z_]+)$")
+#: Words that make a placeholder of the value that begins with them, or that holds them anywhere.
+_OPENING = frozenset("your my replace change insert enter put todo fixme dummy example sample fake placeholder redacted changeme not some any the".split())
+_ANYWHERE = frozenset("placeholder redacted changeme replaceme dummy fixme todo notreal".split())
+_PLAIN = frozenset("none null nil true false undefined empty test secret password passwd token bearer basic string str value key username user admin root".split())
+_IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z_]*$")
+
+
+def placeholder(value: str) -> bool:
+    """The value only stands for a secret. Whole words decide: ``sampler`` is no ``sample``."""
+    if _REFERENCE.search(value) and not (value.startswith("$") and value[1:].isalnum() and not _REFERENCE_CASED.match(value)):
+        return True
+    if value.lower() in _PLAIN:
+        return True
+    words = [w for w in re.split(r"[^A-Za-z]+", value.lower()) if w]
+    return bool(words) and (words[0] in _OPENING and value[0].isalpha() or not _ANYWHERE.isdisjoint(words))
 
 
 def entropy(text: str) -> float:
@@ -57,23 +71,42 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
+def jumbled(value: str) -> bool:
+    """Letters that change case too often to be words."""
+    runs = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)
+    return len(value) >= 8 and len(runs) >= 3 and len(value) < 3 * len(runs)
+
+
 def live(value: str, least: int = 6) -> bool:
     """The value looks like a real secret: no placeholder, reference, word or identifier."""
     v = value.strip().strip("\"'`")
-    if len(v) < least or any(c.isspace() for c in v) or _PLACEHOLDER.search(v) or "(" in v and v.endswith(")"):
+    if len(v) < least or any(c.isspace() for c in v) or placeholder(v) or "(" in v and v.endswith(")"):
         return False
     if _IDENTIFIER.match(v):
-        return len(v) >= 16 and entropy(v) > 3.3 and not v.islower() and not re.match(r"^[a-z]+(?:[A-Z][a-z]{2,})+$|^[A-Z_]+$", v)
+        return jumbled(v)
     return len(set(v)) >= 4 and bool(re.search(r"\d|[^\w\s]", v))
 
 
+def mixed(value: str) -> bool:
+    """A live value that prose would hardly hold: letters with digits, or with marks that words don't have."""
+    v = value.rstrip(".,;)")
+    if not live(v) or re.match(r"v?\d[\d.,:x/-]*\w{0,2}$", v) or re.search(r"^[\w.-]+/|://|^[\w-]+(?:\.[a-z]{1,5})+$", v):
+        return False
+    return bool(re.search(r"[A-Za-z]", v) and re.search(r"\d|[!@#^&*?%~+=$]", v)) or jumbled(v)
+
+
+def random_like(value: str) -> bool:
+    """A long value of digits and letters in no word's order."""
+    return long_live(value) and bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value))
+
+
 def long_live(value: str) -> bool:
     return live(value, 12) and entropy(value) > 2.8
 
 
 def login(value: str) -> bool:
     """The password of a login pair in an address; any literal text counts."""
-    return len(value) >= 4 and not _PLACEHOLDER.search(value)
+    return len(value) >= 4 and not placeholder(value)
 
 
 def basic(value: str) -> bool:
@@ -113,11 +146,13 @@ def bearer(value: str) -> bool:
 
 # --------------------------------------------------------------------------- regexes
 
+#: A name that says secret: long words anywhere in it, short ones as words of their own.
 NAMED = (
-    r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|signing[_-]?key|"
-    r"encryption[_-]?key|client[_.-]?secret|credentials?|_auth|_pass|_pw\d*\b|authtoken|auth_token|passcode)"
+    r"(?:passw(?:or)?d|passphrase|passcode|secret|token(?!i[sz])|credential|api[_.-]?key|(?:access|auth|private|signing|encryption|session|master|license)[_.-]?key|"
+    r"(?<![a-z])(?:pass|pwd|pw|auth|authz|authtoken)\d*(?![a-z]))"
 )
-_QUOTED = r"[\"'`]([^\"'`\n]{4,400})[\"'`]"
+_QUOTED = r"[\"'`]([^\"'`\n]+)[\"'`]"
+_ASSIGN = r"[\"']?\]?\s*(?::=|=>|===?|!==?|[=:,(])\s*(?:\w[\w.]*\()?\(?\s*[rbuf]?"
 
 
 @dataclass(frozen=True)
@@ -153,26 +188,37 @@ DETECTORS = (
     Detector("live key", r"\b([a-z]{2,8}-(?:live|prod)-[A-Za-z0-9]{8,})", long_live),
     Detector("provider key", r"\b(AIza[\w-]{30,}|SG\.[\w-]{16,}\.[\w-]{16,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|lrk_[A-Za-z0-9]{12,}|AGE-SECRET-KEY-\w{20,})", long_live),
     Detector("private key", r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)", anything),
-    Detector("address login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`<>]{1,64}:([^\s@/\"'`]{3,128})@[\w.\[-]", login),
-    Detector("connection string", r"(?i);\s*(?:password|pwd)\s*=\s*([^;\"'\s]{4,128})", live),
+    Detector("address login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`<>]{1,64}:([^\s@/\"'`]{3,})@[\w.\[-]", login),
+    Detector("connection string", r"(?i);\s*(?:password|pwd)\s*=\s*([^;\"'\s]{4,})", live),
     Detector("authorization", r"(?i)\bbearer\s+([A-Za-z0-9._~+/=-]{12,})", bearer),
     Detector("authorization", r"(?i)\bbasic\s+([A-Za-z0-9+/]{8,}={0,2})", basic),
     Detector("header", r"(?i)\bx-(?:api-key|auth-token|access-token|secret)[\"']?\s*[:,=]\s*[\"']?([A-Za-z0-9._~+/=-]{8,})", long_live),
     Detector("address parameter", r"(?i)[?&](?:access_token|api_?key|auth_token|sig|signature|token|secret|client_secret|password)=([A-Za-z0-9._~+/%=-]{8,})", long_live),
+    Detector("address parameter", r"(?i)[?&]key=([A-Za-z0-9._~+/%=-]{16,})", random_like),
     Detector("encoded", r"(?i)(?:decode\w*|atob|fromhex|unhexlify)\s*\(\s*[\"'`]([A-Za-z0-9+/=_-]{10,})[\"'`]", encoded),
-    Detector("named literal", r"(?i)" + NAMED + r"\w*[\"']?\]?\s*(?::=|=>|[=:,(])\s*(?:\w[\w.]*\()?\(?\s*[rbuf]?" + _QUOTED, live),
-    Detector("named literal", r"(?i)\b(?:auth|pass|pwd)\d*[\"']?\s*(?::=|=>|[=:])\s*\(?\s*[rbuf]?" + _QUOTED, live),
-    Detector("named literal", r"(?i)\b(?:pw =|pw=|pw:)\s*\(?\s*[rbuf]?" + _QUOTED, live),
-    Detector("named literal", r"(?i)\bpwd_\w+[\"']?\s*(?::=|=>|[=:])\s*\(?\s*[rbuf]?" + _QUOTED, live),
-    Detector("named value", r"(?i)^[ \t]*[#;]?[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?[\w./:-]*" + NAMED + r"[\w.-]*[ \t]*[=:][ \t]*([^\s\"'`#]{6,400})[ \t]*\r?$", live, True),
-    Detector("named value", r"(?i)\bname:[ \t]*[\"']?\w*(?:secret|token|password|passwd|pwd|key|auth|pass)\w*[\"']?[ \t]*\r?\n[ \t]*value:[ \t]*[\"']?([^\s\"'#]{6,400})", live, True),
-    Detector("command login", r"(?:curl|wget|http|ftp)\b[^\n]*?(?: -u|--user)[ =]+[\"']?[\w.@-]{2,40}:([^\s\"':@]{4,80})", live),
-    Detector("command login", r"(?i)\blogin\s+\S+\s+password\s+(\S{4,80})", live),
-    Detector("command login", r"(?i)--(?:password|token|secret|api-key)[ =]+[\"']?([^\s\"']{6,200})", live),
+    Detector("named literal", r"(?i)" + NAMED + r"\w*" + _ASSIGN + _QUOTED, live),
+    Detector("named value", r"(?i)^[ \t]*[#;]?[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?[\w./:-]*" + NAMED + r"[\w.-]*[ \t]*[=:][ \t]*([^\s\"'`]{6,})[ \t]*\r?$", live, True),
+    Detector("named value", r"(?i)\bname:[ \t]*[\"']?\w*(?:secret|token|password|passwd|pwd|key|auth|pass)\w*[\"']?[ \t]*\r?\n[ \t]*value:[ \t]*[\"']?([^\s\"']{6,})", live, True),
+    Detector("named remark", r"(?i)(?:#|//|/\*|^[ \t]*\*|--|<!--)[^\n]*?" + NAMED + r"\w*[ \t]*(?:[=:]|is|was)[ \t]+[\"'`]?([^\s\"'`]{6,})", mixed),
+    Detector("named element", r"(?i)<[\w.:-]*" + NAMED + r"[\w.-]*>([^<\s]{4,})</", live),
+    Detector("named element", r"(?i)\b(?:name|key)=[\"'][\w.-]*" + NAMED + r"[\w.-]*[\"']\s+value=[\"']([^\"'\s]{4,})[\"']", live),
+    Detector("login pair", r"(?:^|[ \t:(])[\"'`]?[A-Za-z][\w.@+-]{1,}[\"'`]? / [\"'`]?(\S{6,}?)[\"'`]?[ \t.,;)]*\r?$", mixed),
+    Detector("command login", r"\b(?:curl|wget|http|ftp)\b[^\n]*?(?: -u|--user)[ =]+[\"']?[\w.@-]{2,}:([^\s\"':]{4,})", live),
+    Detector("command login", r"\bsshpass\b[^\n]*?[ \t]-p[ \t]*[\"']?([^\s\"']{4,})", live),
+    Detector("command login", r"\b(?:mysql|mariadb)\w*\b[^\n]*?[ \t]-p[\"']?([^\s\"']{4,})", live),
+    Detector("command login", r"\b(?:redis-cli\b[^\n]*?[ \t]-a|ldap\w+\b[^\n]*?[ \t]-w|unzip\b[^\n]*?[ \t]-P)[ \t]+[\"']?([^\s\"']{4,})", live),
+    Detector("command login", r"\becho[ \t]+(?:-n[ \t]+)?[\"']?([^\s\"'|]{6,})[\"']?[ \t]*\|[^\n]*--password-stdin", live),
+    Detector("command login", r"(?i)\blogin\s+\S+\s+password\s+(\S{4,})", live),
+    Detector("command login", r"(?i)--(?:password|token|secret|api-key)[ =]+[\"']?([^\s\"']{6,})", live),
 )
 
-#: Names of values that look alike but protect nothing.
-_HARMLESS_NAME = re.compile(r"(?i)(?:public[_-]?key|digest|checksum|sha\d*|integrity|commit|trace|request[_-]?id|placeholder|_field|_label|_name\b|_url\b|_type\b|_file|_path|expected|pinned|icon)")
+#: What a name ends with, or holds as a phrase, if its value looks alike but protects nothing.
+_HARMLESS_WORDS = frozenset(
+    "digest checksum sha sha1 sha256 sha512 md5 hash integrity commit trace placeholder field label name url uri endpoint type file path dir expected pinned icon pattern regex header prefix length count limit ttl".split()
+)
+_HARMLESS_PHRASE = re.compile(r"(?i)public[_-]?key|request[_-]?id|trace[_-]?id")
+_NAME_LEFT = re.compile(r"([\w.-]+)[\"']?\]?\s*(?::=|=>|===?|!==?|[=:])\s*\(?\s*[rbuf]?[\"'`]?$")
+_NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])\d*|[A-Z]?[a-z]+\d*|\d+")
 _CONFIG = re.compile(r"(?:\.(?:env|local|ini|cfg|conf|ya?ml|properties|toml|npmrc|sh|bash|md|rst|txt|netrc|pypirc)|/\.?env[\w.]*|Dockerfile\w*)$|(?:^|/)\.\w[\w.]*$", re.I)
 
 
@@ -318,15 +364,18 @@ def _plan() -> tuple[TrigramIndex, tuple[Formula, ...]]:
 
 # --------------------------------------------------------------------------- search
 
-def _key_body(text: str, at: int) -> bool:
+_KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+
+
+def _key_body(text: str, begin: int, end: int) -> bool:
     """Key material follows a private key's first line (or the chunk ends there)."""
-    rest = text[at : at + 400]
-    body = re.sub(r"\\n|\\r|[\s\"'+#/*>|]+", "\n", rest).strip()
+    body = re.sub(r"\\n|\\r|[\s\"'+#/*>|]+", "\n", text[begin:end]).strip()
     if not body:
         return True
+    # Headers (Comment, Proc-Type, DEK-Info) name themselves before a colon; what follows them is judged.
     lines = [x for x in body.split("\n") if x]
-    head = "".join(x for x in lines[:6] if ":" not in x and "," not in x)
-    return bool(re.match(r"[A-Za-z0-9+/=]{16,}", head)) and not _PLACEHOLDER.search(lines[0])
+    head = "".join(x for x in lines if ":" not in x and "," not in x)
+    return bool(re.search(r"[A-Za-z0-9+/=]{16,}", head)) and not placeholder(lines[0])
 
 
 _KEYWORDS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "credential")
@@ -349,7 +398,7 @@ def _keyword_spans(text: str) -> list[tuple[int, int]]:
     for begin, end in spans:
         line = text[begin:end]
         # An assignment or a key has one of these; prose that only mentions the word is left out.
-        if "=" not in line and ":" not in line and "(" not in line and "," not in line:
+        if "=" not in line and ":" not in line and "(" not in line and "," not in line and " is " not in line and " was " not in line and ">" not in line:
             continue
         after = text.find("\n", end + 1)
         end = len(text) if after < 0 else after
@@ -361,10 +410,13 @@ def _keyword_spans(text: str) -> list[tuple[int, int]]:
 
 
 def _harmless(text: str, begin: int) -> bool:
-    """The name left of a literal says that it protects nothing."""
+    """The name left of a literal says that it protects nothing; its last word decides."""
     line = text[text.rfind("\n", 0, begin) + 1 : begin]
-    name = re.search(r"([\w.-]+)[\"']?\]?\s*(?::=|=>|[=:])\s*\(?\s*[rbuf]?[\"'`]?$", line)
-    return bool(name and _HARMLESS_NAME.search(name.group(1)))
+    name = _NAME_LEFT.search(line)
+    if not name:
+        return False
+    words = [w.lower() for w in _NAME_WORDS.findall(name.group(1))]
+    return bool(words) and (words[-1] in _HARMLESS_WORDS or words[-1].rstrip("0123456789") in _HARMLESS_WORDS) or bool(_HARMLESS_PHRASE.search(name.group(1)))
 
 
 def secrets(text: str, path: str | None, which: list[int]) -> list[tuple[int, int, str]]:
@@ -385,12 +437,13 @@ def secrets(text: str, path: str | None, which: list[int]) -> list[tuple[int, in
             group = m.lastindex
             value, begin, end = m.group(group), m.start(group), m.end(group)
             if d.name == "private key":
-                if not _key_body(text, end):
+                tail = _KEY_END.search(text, end)
+                if not _key_body(text, end, tail.start() if tail else len(text)):
                     continue
-                tail = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----").search(text, end)
                 end = tail.end() if tail else len(text)
             elif not d.check(value):
-                if not (d.name == "named literal" and encoded(value)):
+                # A literal may be too short to judge before those joined to it are read as well.
+                if not (d.name == "named literal" and (encoded(value) or live(_joined(text, begin, end)))):
                     continue
             if d.name.startswith("named") and _harmless(text, begin):
                 continue
@@ -406,14 +459,22 @@ def secrets(text: str, path: str | None, which: list[int]) -> list[tuple[int, in
     return out
 
 
-def _extend_joined(text: str, end: int) -> int:
-    """The end of a literal that goes on in further literals joined to it."""
-    more = re.compile(r"[\"'`]\s*\\?\s*[+.]?\s*(?:\r?\n\s*)?\+?\s*[\"'`]([A-Za-z0-9+/=._-]{6,})(?=[\"'`])")
-    while m := more.match(text, end):
-        if not re.search(r"\+|\n", m.group(0)):
+_MORE = re.compile(r"[\"'`]\s*\\?\s*[+.]?\s*(?:\r?\n\s*)?\+?\s*\(?\s*[rbuf]?[\"'`]([^\"'`\s]+)(?=[\"'`])")
+
+
+def _pieces(text: str, end: int) -> list[tuple[int, int]]:
+    """The places of the literals that are joined to the one that ends at ``end``."""
+    out = []
+    while m := _MORE.match(text, end):
+        if not re.search(r"\+|\n", text[end : m.start(1)]):
             break
+        out.append(m.span(1))
         end = m.end()
-    return end
+    return out
+
+
+def _joined(text: str, begin: int, end: int) -> str:
+    return text[begin:end] + "".join(text[a:b] for a, b in _pieces(text, end))
 
 
 def redact(text: str, places: list[tuple[int, int, str]], mask: str = MASK) -> str:
@@ -421,7 +482,8 @@ def redact(text: str, places: list[tuple[int, int, str]], mask: str = MASK) -> s
     out, at = [], 0
     for begin, end, name in places:
         out.append(text[at:begin])
-        stop = end if name == "private key" else _extend_joined(text, end)
+        pieces = [] if name == "private key" else _pieces(text, end)
+        stop = pieces[-1][1] if pieces else end
         inside = text[begin:stop]
         if name == "private key":
             head = re.match(r"-----BEGIN[^-]*-----", inside).group()
@@ -429,10 +491,10 @@ def redact(text: str, places: list[tuple[int, int, str]], mask: str = MASK) -> s
             body = inside[len(head) : len(inside) - (len(foot.group()) if foot else 0)]
             body = re.sub(r"[A-Za-z0-9+/=]{8,}", mask, re.sub(r"\\n", "\\n", body))
             out.append(head + body + (foot.group() if foot else ""))
-        elif stop > end:
-            out.append(mask + re.sub(r"([\"'`])[A-Za-z0-9+/=._-]{6,}$", r"\1", re.sub(r"([\"'`])[A-Za-z0-9+/=._-]{6,}(?=[\"'`])", r"\1", text[end:stop])))
         else:
-            out.append(mask)
+            # The joined literals stay as empty ones.
+            cuts = [end, *(x for piece in pieces for x in piece)]
+            out.append(mask + "".join(text[a:b] for a, b in zip(cuts[0::2], cuts[1::2])))
         at = stop
     out.append(text[at:])
     return "".join(out)
@@ -473,8 +535,14 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in REDACTED.split(", ")]
+    rows, size = [], 0
     for row, got in _blocks(batches):
-        yield pd.DataFrame([(row.chunk_id, row.corpus_id, row.path, len(got), redact(row.content, got))], columns=names)
+        rows.append((row.chunk_id, row.corpus_id, row.path, len(got), redact(row.content, got)))
+        size += len(row.content)
+        if size >= 1 << 22:
+            yield pd.DataFrame(rows, columns=names)
+            rows, size = [], 0
+    yield pd.DataFrame(rows, columns=names)
 
 
 def _chunks(chunks: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def bearer(value: str) -> bool:
 #: A name that says secret: long words anywhere in it, short ones as words of their own.
 NAMED = (
     r"(?:passw(?:or)?d|passphrase|passcode|secret|token(?!i[sz])|credential|api[_.-]?key|(?:access|auth|private|signing|encryption|session|master|license)[_.-]?key|"
-    r"(?<![a-z])(?:pass|pwd|pw|auth|authz|authtoken)\d*(?![a-z]))"
+    r"(?<![a-z])(?:pass|pwd|auth|authz|authtoken|(?=pw[ =:_\"'.)12])pw)\d*(?![a-z]))"
 )
 _QUOTED = r"[\"'`]([^\"'`\n]+)[\"'`]"
 _ASSIGN = r"[\"']?\]?\s*(?::=|=>|===?|!==?|[=:,(])\s*(?:\w[\w.]*\()?\(?\s*[rbuf]?"
@@ -269,7 +269,7 @@ def _alternatives(node: list) -> list[str] | None:
                 if got is None:
                     return None
                 options += got
-        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg) and len(arg) <= 8:
+        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg) and len(arg) <= 12:
             options = [chr(a) for _, a in arg]
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] == 0 and arg[1] == 1:
             got = _alternatives(arg[2])
@@ -313,6 +313,8 @@ def _inside(item) -> Formula:
         return _formula(arg[3])
     if op is sre.BRANCH:
         return _one([_formula(b) for b in arg[1]])
+    if op is sre.ASSERT and arg[0] > 0:
+        return _formula(arg[1])
     if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
         return _formula(arg[2])
     return ANY

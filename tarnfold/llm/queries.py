@@ -35,7 +35,7 @@ def queries() -> dict[str, Query]:
         "p1_nearest": _over(_stated_queries, "chunk_vectors"),
         "p2_found": _over(truncation.found, "predictions"),
         "p2_shares": _over(_shares, "predictions"),
-        "p2_hazards": _over(truncation.significant_lengths, "predictions"),
+        "p2_hazards": _over(truncation.hazards, "predictions"),
         "p3_found": _over(pairs.found, "predictions", "instances"),
         "p4_found": _over(lambda c, k: splitting.found(splitting.split_oversized(c, k)), "chunks", "corpora"),
         "p4_pieces": _over(splitting.split_oversized, "chunks", "corpora"),

@@ -2,20 +2,26 @@
 
 Method. For each source, field and measure (code points, bytes, tokens) the
 lengths of the distinct values form a discrete hazard: the share of the values of
-at least length L that end exactly at L. Window functions give each length its
-neighbours' hazard (``NEIGHBOURS`` lengths on either side, at least ``FLOOR`` of
-the source's overall rate); a Poisson tail tests the length against it, and
-Benjamini-Hochberg over all tests (false-discovery rate ``FDR``) keeps the
-significant ones. Those are ceilings: storage limits and the like.
-
-A value is flagged if its ending is incomplete: at a significant length, at a
-generation ceiling (the provider's stop reason, in all spellings) or at any other
-length (a broken transfer). How incomplete it must be depends on which: an ending
-of *weak* evidence (a hunk with fewer lines than its header says, an unclosed
-fence that stops after a whole line) counts at a significant length or a ceiling
-only; elsewhere it must break off within a line or a sentence, or carry the mark of
-a tool that cut it. A complete ending is never flagged, whatever its length, and a
-patch with a wrong count in a hunk header isn't incomplete for that.
+at least length L that end exactly at L. Window functions give the hazard of the
+lengths around it (``NEIGHBOURS`` on either side, exactly, as ends over values at
+risk); a Poisson tail tests each length's ends against it, and Benjamini-Hochberg
+over all tests (false-discovery rate ``FDR``) keeps the significant ones. Those are
+ceilings: storage limits, token limits and the like.
+
+A broken transfer has no length of its own, so its hazard is that of ending
+within a line at all: per source, the distinct values that break off at no
+significant length and no generation ceiling are tested against ``STRAY``, the rate
+at which whole values look so, with the same false-discovery control.
+
+A value is flagged if its ending is incomplete and one of these holds: its length
+is significant (for a patch: or the length of the reply that it ends), the
+provider names a generation ceiling, or its source's broken endings are significant.
+How incomplete it must be depends on which: an ending of *weak* evidence (a hunk with
+fewer lines than its header says, an unclosed fence that stops after a whole line)
+counts at a significant length or a ceiling only; elsewhere it must break off within
+a line or a sentence, or carry the mark of a tool that cut it. A complete ending is
+never flagged, whatever its length, and a patch with a wrong count in a hunk header
+isn't incomplete for that.
 
 Defined results: null, empty and blank values are no cases; a null source is a
 source of its own; repeated deliveries are each reported but tested once; empty
@@ -25,6 +31,7 @@ tables give no rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,9 +42,11 @@ from tarnfold.session import cut
 
 NEIGHBOURS = 60
 FLOOR = 0.5
-FDR = 1e-4
-MIN_AT_LENGTH = 5
+FDR = 0.01
+STRAY = 0.001
 TOKEN_UNIT = "tokens"
+#: Benjamini-Hochberg thresholds lie on a grid of so many steps a power of ten.
+STEPS = 16
 #: What providers call a generation ceiling.
 CEILINGS = ("max_tokens", "length", "max_output_tokens", "max_length", "token_limit", "model_length")
 
@@ -52,7 +61,7 @@ STATUS_LINE = re.compile(r"^\W*\w[\w -]*:\s+\d+ \w+(?:, \d+ \w+)*$")
 CLOSERS = ("\n```", "\n</diff>", "\n~~~")
 
 COMPLETE, WEAK, BROKEN, MARKED = 0, 1, 2, 3
-FLAGS = "prediction_id bigint, field_name string, source string, ceiling boolean, ending int, characters int, bytes int"
+FLAGS = "prediction_id bigint, field_name string, source string, ceiling boolean, ending int, characters int, bytes int, tokens int, reply_characters int, reply_bytes int, digest bigint"
 
 
 def hunk_missing(diff: str) -> int:
@@ -96,13 +105,18 @@ def diff_part(reply: str) -> tuple[str, str | None]:
     return body[: k + 1], body[k + 1 :]
 
 
+def _last_line(text: str) -> str:
+    """The last line that isn't blank."""
+    return text.rstrip().rsplit("\n", 1)[-1]
+
+
 def reply_ending(reply: str | None, parts: tuple[str, str | None] | None = None) -> int:
     """How incomplete a reply ends; ``parts`` is its ``diff_part``, if it is known."""
     if not reply or not reply.strip():
         return COMPLETE
     reply = reply.replace("\r\n", "\n")
     diff, rest = parts or diff_part(reply)
-    if CUT_MARK.search(reply[-80:]):
+    if CUT_MARK.search(_last_line(reply)):
         # An ellipsis may also end a sentence; it is a mark only after a broken word or within a diff.
         if not re.search(r"[a-z]{3}(?:…|\.{3})\s*$", reply) or rest is None:
             return MARKED
@@ -125,9 +139,10 @@ def patch_ending(patch: str | None, reply: str | None, reply_state: int) -> int:
     if not patch or not patch.strip():
         return COMPLETE
     text = patch.replace("\r\n", "\n")
-    if CUT_MARK.search(text[-80:]) and not re.search(r"^[ +-].*[.…]{1,3}['\"`)/*]*$", text.rsplit("\n", 1)[-1]):
+    tail = _last_line(text)
+    if CUT_MARK.search(tail) and not re.search(r"^[ +-].*[.…]{1,3}['\"`)/*]*$", text.rsplit("\n", 1)[-1]):
         return MARKED
-    if re.search(r"\[?(?:truncated|output clipped)[\])]\s*$", text[-80:]):
+    if re.search(r"\[?(?:truncated|output clipped)[\])]$", tail):
         return MARKED
     if text.endswith("\n"):
         return WEAK if hunk_missing(text) > 0 else COMPLETE
@@ -145,7 +160,10 @@ def patch_ending(patch: str | None, reply: str | None, reply_state: int) -> int:
             return COMPLETE if whole else BROKEN
         return BROKEN if reply_state >= BROKEN or hunk_missing(text) > 0 else COMPLETE
     stem = re.sub(r"[ …]+$|\.{3}$", "", text)
-    if stem != text and stem and stem[-200:] in source:
+    # Counts in hunk headers may have been mended, so the last hunk's body is looked for.
+    body = stem[stem.rfind("\n@@ ") + 1 :]
+    body = body[body.find("\n") + 1 :] if body.startswith("@@ ") else body
+    if stem != text and body and body in source:
         return MARKED
     if hunk_missing(text) > 0:
         return BROKEN
@@ -153,14 +171,21 @@ def patch_ending(patch: str | None, reply: str | None, reply_state: int) -> int:
 
 
 def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    size = lambda text: len(text.encode("utf-8", "surrogatepass"))
+    names = [c.split()[0] for c in FLAGS.split(", ")]
     for batch in batches:
         rows = []
         for r in batch.itertuples(index=False):
             state = reply_ending(r.raw)
             for field, value, ending in (("raw", r.raw, state), ("model_patch", r.model_patch, patch_ending(r.model_patch, r.raw, state))):
                 if ending > COMPLETE:
-                    rows.append((r.prediction_id, field, r.source, r.ceiling, ending, len(value), len(value.encode("utf-8", "surrogatepass"))))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FLAGS.split(", ")])
+                    reply = r.raw if isinstance(r.raw, str) else ""
+                    raw = value.encode("utf-8", "surrogatepass")
+                    tokens = None if r.tokens is None or r.tokens != r.tokens else int(r.tokens)
+                    rows.append((r.prediction_id, field, r.source, r.ceiling, ending, len(value), len(raw), tokens, len(reply), size(reply), len(value) << 32 | zlib.crc32(raw)))
+        frame = pd.DataFrame(rows, columns=names)
+        frame["tokens"] = frame["tokens"].astype("Int64")
+        yield frame
 
 
 def at_ceiling(stop_reason: Column) -> Column:
@@ -188,27 +213,36 @@ def lengths(predictions: DataFrame) -> DataFrame:
 
 
 def length_hazards(predictions: DataFrame) -> DataFrame:
-    """Each length's count, values at risk, hazard, neighbours' hazard and p-value."""
+    """Each length's count, values at risk, hazard, ends that its neighbours' hazard lets expect, and p-value."""
     counts = lengths(predictions).groupBy("source", "field_name", "measure", "length").agg(F.count_distinct("value").alias("n"))
     key = ["source", "field_name", "measure"]
     rising = Window.partitionBy(*key).orderBy("length")
-    near = rising.rangeBetween(-NEIGHBOURS, NEIGHBOURS)
-    risk = rising.orderBy(F.desc("length"))
-    h = (
-        counts.withColumn("at_risk", F.sum("n").over(risk.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("near_n", F.sum("n").over(near) - F.col("n"))
-        .withColumn("span", F.least(F.lit(2 * NEIGHBOURS), F.lit(NEIGHBOURS) + F.col("length") - 1))
-        .withColumn("hazard", F.col("n") / F.col("at_risk"))
-        # Values at risk fall by the neighbours only, so the length's own count stands for each of them.
-        .withColumn("expected", F.greatest(F.col("near_n") / F.col("span"), FLOOR * F.col("n") / F.col("at_risk"), F.lit(1e-3)))
-    )
-    n, mean = F.col("n"), F.col("expected")
-    # Poisson tail P(X >= n) by its leading terms; from n > mean on they fall geometrically.
+    below, above = rising.rangeBetween(-NEIGHBOURS, -1), rising.rangeBetween(1, NEIGHBOURS)
+    risk = rising.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*key)
+    over = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0))
+    n, at_risk, length = F.col("n"), F.col("at_risk"), F.col("length")
+    h = counts.withColumns({
+        "at_risk": F.sum("n").over(risk), "n_below": over("n", below), "n_above": over("n", above),
+        "l_below": over(n * length, below), "l_above": over(n * length, above),
+        "overall": F.sum("n").over(whole) / F.sum(n * length).over(whole),
+    })
+    # Values at risk summed over the neighbouring lengths, those without any end included.
+    low = F.least(F.lit(NEIGHBOURS), length - 1)
+    risk_below = low * at_risk + F.col("l_below") - F.col("n_below") * (length - low - 1)
+    risk_above = F.col("l_above") - F.col("n_above") * length + NEIGHBOURS * (at_risk - n - F.col("n_above"))
+    near = (F.col("n_below") + F.col("n_above")) / F.greatest(F.lit(1), risk_below + risk_above)
+    expected = at_risk * F.greatest(near, FLOOR * F.col("overall"))
+    # Only lengths at which some value ends are tested, so the tail is that given at least one end.
+    p_value = F.least(F.lit(1.0), _tail(n, F.col("expected")) / -F.expm1(-F.col("expected")))
+    return h.withColumns({"hazard": n / at_risk, "expected": expected}).select(*key, "length", "n", "at_risk", "hazard", "expected", p_value.alias("p_value"))
+
+
+def _tail(n: Column, mean: Column) -> Column:
+    """Poisson tail P(X >= n) by its leading terms; from n > mean on they fall geometrically."""
     log_first = n * F.log(mean) - mean - _log_factorial(n)
     tail = F.exp(log_first) / F.greatest(F.lit(1e-9), 1 - mean / (n + 1))
-    return h.withColumn("p_value", F.when(n > mean, F.least(F.lit(1.0), tail)).otherwise(1.0)).select(
-        *key, "length", "n", "at_risk", "hazard", "expected", "p_value"
-    )
+    return F.when(n > mean, F.least(F.lit(1.0), tail)).otherwise(1.0)
 
 
 def _log_factorial(n: Column) -> Column:
@@ -217,36 +251,79 @@ def _log_factorial(n: Column) -> Column:
     return (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x)
 
 
+def discoveries(tests: DataFrame, fdr: float) -> DataFrame:
+    """The tests that pass Benjamini-Hochberg; the threshold is the greatest of a fixed grid that holds.
+
+    Only counts by step of the grid meet in one place, at most 300 powers of ten.
+    """
+    step = F.floor(-STEPS * F.log10(F.greatest("p_value", F.lit(1e-300))))
+    edge = F.pow(F.lit(10.0), -F.col("step") / STEPS)
+    per_step = tests.groupBy(step.alias("step")).agg(F.count("*").alias("n"))
+    running = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    cumulated = per_step.withColumns({"upto": F.sum("n").over(running), "total": F.sum("n").over(Window.partitionBy())})
+    limit = cumulated.where(edge <= fdr * F.col("upto") / F.col("total")).agg(F.max(edge).alias("threshold"))
+    return tests.crossJoin(F.broadcast(limit)).where(F.col("p_value") <= F.col("threshold")).drop("threshold")
+
+
 def significant_lengths(predictions: DataFrame, fdr: float = FDR) -> DataFrame:
     """The lengths at which far more values end than around it, after false-discovery control."""
-    tests = cut(length_hazards(predictions))
-    total = tests.agg(F.count("*").alias("tests"))
-    # Ranks over lengths that could pass at all: a p-value above the rate never does.
-    hopeful = tests.where((F.col("p_value") <= fdr) & (F.col("n") >= MIN_AT_LENGTH))
-    ranked = hopeful.withColumn("rank", F.row_number().over(Window.orderBy("p_value", "source", "field_name", "measure", "length")))
-    ranked = ranked.crossJoin(F.broadcast(total)).withColumn("passes", F.col("p_value") <= fdr * F.col("rank") / F.col("tests"))
-    last = F.max(F.when(F.col("passes"), F.col("rank"))).over(Window.partitionBy())
-    return ranked.withColumn("last", last).where(F.col("rank") <= F.col("last")).drop("rank", "passes", "last", "tests")
+    return discoveries(cut(length_hazards(predictions)), fdr)
 
 
-def truncated(predictions: DataFrame) -> DataFrame:
-    """``(prediction_id, field_name, source, reason)`` of each truncated value."""
+def _incomplete(predictions: DataFrame) -> DataFrame:
+    """Flags and lengths of the values with an incomplete ending; texts end here."""
     ceiling = at_ceiling(F.col("stop_reason")).alias("ceiling")
-    # Texts end here: what goes on are flags and lengths of the incomplete values.
-    rows = predictions.select("prediction_id", F.col("model_name_or_path").alias("source"), ceiling, "raw", "model_patch").mapInPandas(_endings, FLAGS)
-    marks = significant_lengths(predictions).where(F.col("measure") != TOKEN_UNIT).select(
-        F.col("source").alias("s"), F.col("field_name").alias("f"), "measure", F.col("length").alias("l")
+    tokens = F.col("output_tokens").cast("int").alias("tokens")
+    return predictions.select("prediction_id", F.col("model_name_or_path").alias("source"), ceiling, tokens, "raw", "model_patch").mapInPandas(_endings, FLAGS)
+
+
+def _with_limits(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The flags with ``at_limit``: the value's length, or its reply's, is significant for the source."""
+    marks = marks.select(F.col("source").alias("s"), F.col("field_name").alias("f"), "measure", F.col("length").alias("l"))
+    reply = F.col("f") == "raw"
+    length = (
+        F.when(F.col("measure") == TOKEN_UNIT, F.col("tokens"))
+        .when(reply, F.when(F.col("measure") == "bytes", F.col("reply_bytes")).otherwise(F.col("reply_characters")))
+        .otherwise(F.when(F.col("measure") == "bytes", F.col("bytes")).otherwise(F.col("characters")))
     )
-    fits = (
-        F.col("source").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f"))
-        & (F.col("l") == F.when(F.col("measure") == "bytes", F.col("bytes")).otherwise(F.col("characters")))
+    # A patch's end is its reply's end, or one of its own; a reply has one end only.
+    fits = F.col("source").eqNullSafe(F.col("s")) & (reply | (F.col("field_name") == "model_patch")) & (F.col("l") == length)
+    # At most a few lengths per source and field are significant; the join is on the source.
+    return rows.join(marks, fits, "left").groupBy("prediction_id", "field_name").agg(
+        F.first("source").alias("source"), F.max("ending").alias("ending"), F.max("ceiling").alias("ceiling"),
+        F.max(F.col("l").isNotNull()).alias("at_limit"), F.max("digest").alias("digest"),
     )
-    # At most a few lengths per source and field are significant; the join is on source and field.
-    flagged = rows.join(marks, fits, "left").groupBy("prediction_id", "field_name").agg(
-        F.first("source").alias("source"), F.max("ending").alias("ending"), F.max("ceiling").alias("ceiling"), F.max(F.col("l").isNotNull()).alias("at_limit")
+
+
+def break_hazards(flagged: DataFrame, tests: DataFrame) -> DataFrame:
+    """Per source: distinct values that break off at no limit, distinct values, and the p-value against ``STRAY``."""
+    values = tests.where("measure = 'characters'").groupBy("source").agg(F.sum("n").alias("at_risk"))
+    broken = flagged.where((F.col("ending") >= BROKEN) & ~F.col("ceiling") & ~F.col("at_limit"))
+    broken = broken.groupBy("source").agg(F.count_distinct("field_name", "digest").alias("n"))
+    both = values.join(broken.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+    n, expected = F.coalesce("n", F.lit(0)), STRAY * F.col("at_risk")
+    return both.select("source", n.alias("n"), "at_risk", (n / F.col("at_risk")).alias("hazard"), expected.alias("expected"), _tail(n, expected).alias("p_value"))
+
+
+def truncated(predictions: DataFrame, fdr: float = FDR) -> DataFrame:
+    """``(prediction_id, field_name, source, reason)`` of each truncated value."""
+    tests = cut(length_hazards(predictions))
+    flagged = cut(_with_limits(_incomplete(predictions), discoveries(tests, fdr)))
+    breaking = discoveries(break_hazards(flagged, tests), fdr).select(F.col("source").alias("s"), F.lit(True).alias("breaks"))
+    reason = (
+        F.when(F.col("ceiling"), "ceiling").when(F.col("at_limit"), "limit").when((F.col("ending") >= BROKEN) & F.col("breaks"), "transfer")
     )
-    reason = F.when(F.col("ceiling"), "ceiling").when(F.col("at_limit"), "limit").when(F.col("ending") >= BROKEN, "transfer")
-    return flagged.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("prediction_id", "field_name", "source", "reason")
+    joined = flagged.join(breaking, F.col("source").eqNullSafe(F.col("s")), "left")
+    return joined.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("prediction_id", "field_name", "source", "reason")
+
+
+def hazards(predictions: DataFrame, fdr: float = FDR) -> DataFrame:
+    """The significant hazards of both kinds: lengths, and sources whose values break off (``measure`` = break)."""
+    tests = cut(length_hazards(predictions))
+    limits = discoveries(tests, fdr)
+    breaks = discoveries(break_hazards(_with_limits(_incomplete(predictions), limits), tests), fdr)
+    null = lambda kind: F.lit(None).cast(kind)
+    return limits.unionByName(breaks.select("source", null("string").alias("field_name"), F.lit("break").alias("measure"), null("int").alias("length"), "n", "at_risk", "hazard", "expected", "p_value"))
 
 
 def shares(predictions: DataFrame, flags: DataFrame) -> DataFrame:

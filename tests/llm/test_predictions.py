@@ -57,6 +57,29 @@ def test_truncation_by_hazard_ceiling_and_transfer(spark):
     shares = truncation.shares(df, truncation.truncated(df)).collect()
     assert sum(r.n_truncated for r in shares) == len(got) and {r.source for r in shares} == {"m1", "m2", None}
     assert truncation.found(df.where("false")).count() == 0
+    # Nothing but what the provider names is left if no hazard is significant.
+    assert {r.reason for r in truncation.truncated(df, fdr=0.0).collect()} == {"ceiling"}
+    kinds = {r.measure for r in truncation.hazards(df).collect()}
+    assert {"characters", "break"} <= kinds
+
+
+def test_hazards_equal_brute_force(spark):
+    rng = random.Random(4)
+    sizes = [rng.randint(1, 300) for _ in range(400)] + [150] * 12 + [300] * 9
+    rows = [(i, "x", "m", "", "".join(rng.choice("abc") for _ in range(n)), None, None, None) for i, n in enumerate(sizes)]
+    got = {r.length: r for r in truncation.length_hazards(spark.createDataFrame(rows, PRED)).where("measure = 'characters' and field_name = 'raw'").collect()}
+    values = [len(v) for v in {r[4] for r in rows}]
+    near = truncation.NEIGHBOURS
+    for length, r in got.items():
+        around = [j for j in range(max(1, length - near), length + near + 1) if j != length]
+        ends, risk = sum(values.count(j) for j in around), sum(sum(v >= j for v in values) for j in around)
+        at_risk = sum(v >= length for v in values)
+        mean = at_risk * max(ends / max(1, risk), truncation.FLOOR * len(values) / sum(values))
+        assert r.n == values.count(length) and r.at_risk == at_risk and abs(r.expected - mean) < 1e-9
+    kept = {r.length for r in truncation.discoveries(spark.createDataFrame(list(got.values())), 0.01).collect()}
+    ranked = sorted(r.p_value for r in got.values())
+    exact = max((p for k, p in enumerate(ranked, 1) if p <= 0.01 * k / len(ranked)), default=0)
+    assert kept == {150, 300} and kept <= {x for x, r in got.items() if r.p_value <= exact}
 
 
 @pytest.mark.parametrize("text,state", [

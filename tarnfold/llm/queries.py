@@ -17,8 +17,8 @@ def _over(function: Callable[..., DataFrame], *tables: str) -> Query:
 
 
 def _stated_queries(vectors: DataFrame) -> DataFrame:
-    """The 10 nearest of every vector whose id is divisible by 100, searched in each shard."""
-    return neighbors.most_similar(vectors, probes=None, queries=vectors.where("vec_id % 100 = 0"), beam=160)
+    """The 10 nearest of every vector whose id is divisible by 100; the number of shards asked is measured."""
+    return neighbors.most_similar(vectors, queries=vectors.where("vec_id % 100 = 0"), beam=160)
 
 
 def _shares(predictions: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tarnfold import queries
 from tarnfold.operators import chunking, context, embedding, hybrid, lexical, logs, prompts, recall, semantic
 from tarnfold.operators.config import ChunkConfig, effective_overlap, effective_window
+from tarnfold.operators.skew import salted_join
 from tarnfold.plans import predict, search
 from tarnfold.streaming import incremental
 
@@ -181,3 +182,12 @@ def test_previews_of_lines_outside_ascii_equal_brute_force(spark, tmp_path):
 
     got = {r.chunk_id: r.preview for r in queries.first_line_preview(spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts) if t is not None}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_the_plain_one(spark, how):
+    many = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 7}" if i % 5 else None) for i in range(400)], "a int, k string")
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("k9", 4), (None, 5)], "k string, b int")
+    rows = lambda df: sorted(map(repr, df.select("a", "k", "b").collect()))
+    assert rows(salted_join(many, few, ["k"], how, hot=20)) == rows(many.join(few, ["k"], how))
+    assert salted_join(many.where("false"), few, ["k"], how).count() == 0

@@ -28,7 +28,7 @@ The signals of a file, in the order in which they decide its kind:
   markup in long lines; their names aren't mangled).
 
 Which other repositories hold a shingle is found exactly: least and greatest repository
-per shingle are aggregated before the shuffle; a bitmap of ``SKETCH`` bits over the shared
+per shingle are aggregated before the shuffle; a Bloom filter of fixed size over the shared
 ones lets few others through to the join that decides.
 
 The model's tables hold at most 30 ** 3 counts per language, whatever the input's
@@ -49,6 +49,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnfold.llm.sketches import bitmap, maybe
 from tarnfold.session import cut
 
 LANGUAGES = ("py", "go", "js", "ts", "java", "c", "other")
@@ -64,7 +65,6 @@ ENCODED_RUN = 32
 SPREADS = 5.0
 LEAST_NAMES = 100
 LEAST_FILES = 30
-SKETCH = 1 << 26
 SYMBOLS = 30
 UNKNOWN_BITS = np.full(SYMBOLS**3, np.log2(SYMBOLS), dtype=np.float16)
 
@@ -320,23 +320,6 @@ def _measure(model: dict[str, np.ndarray]):
     return run
 
 
-def _shared_sketch(shared: DataFrame) -> np.ndarray:
-    """A bitmap of the shared shingles' hashes; of ``SKETCH`` bits, however many there are."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap = np.zeros(SKETCH // 8, dtype=np.uint8)
-        for batch in batches:
-            at = batch.shingle.to_numpy().astype(np.uint64) % np.uint64(SKETCH)
-            np.bitwise_or.at(bitmap, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-        used = np.flatnonzero(bitmap)
-        yield pd.DataFrame({"at": used.astype(np.int32), "byte": bitmap[used].astype(np.int32)})
-
-    rows = shared.select("shingle").mapInPandas(run, "at int, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
-    bitmap = np.zeros(SKETCH // 8, dtype=np.uint8)
-    bitmap[rows.column("at").to_numpy()] = rows.column("byte").to_numpy().astype(np.uint8)
-    return bitmap
-
-
 def measured_files(chunks: DataFrame, corpora: DataFrame) -> DataFrame:
     """The sums of each file, its shingles and those of them that other repositories have as well."""
     source = source_chunks(chunks)
@@ -350,7 +333,7 @@ def measured_files(chunks: DataFrame, corpora: DataFrame) -> DataFrame:
     spread = owned.select(F.xxhash64(F.coalesce("repo", "corpus_id")).alias("repo"), F.explode("shingles").alias("shingle"))
     spread = spread.groupBy("shingle").agg(F.min("repo").alias("least"), F.max("repo").alias("greatest"))
     shared = cut(spread.where("least <> greatest").select("shingle"))
-    bitmap = _shared_sketch(shared)
+    sketch = bitmap(shared)
 
     def hopeful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -359,8 +342,7 @@ def measured_files(chunks: DataFrame, corpora: DataFrame) -> DataFrame:
                 continue
             values = np.concatenate(batch.shingles.to_list()).astype(np.int64)
             row = np.repeat(np.arange(len(batch)), sizes)
-            at = values.astype(np.uint64) % np.uint64(SKETCH)
-            some = np.flatnonzero(bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            some = np.flatnonzero(maybe(sketch, values))
             yield pd.DataFrame({
                 "corpus_id": batch.corpus_id.to_numpy()[row[some]], "path": batch.path.to_numpy()[row[some]], "shingle": values[some],
             })

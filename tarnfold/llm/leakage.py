@@ -1,20 +1,21 @@
 """Held-out evaluation passages inside a corpus, by spaced-seed hashing.
 
 Method. A word is a maximal run of Unicode letters and digits, without case;
-everything between words is ignored. Fixed masks of ``SPAN`` positions read only
-some of the positions: a hash of the words read is looked up among the hashes of
-all positions of all evaluation items. As a mask is no longer than the shortest
-passage (12 words), every passage of 12 equal words has a hit of every mask; as
-masks skip positions, most passages of that length with one replaced word have a
-hit as well. Hits are verified on the diagonal (document position minus item
-position): the overlap around the hit is extended in both directions through at
-most ``MAX_SUBSTITUTIONS`` successive replaced words, and reported with its
-length, its equal words and its longest run of equal words.
-
-The evaluation side is a stated set: it is held in every worker, in blocks of at
-most ``BLOCK_WORDS`` words, so its size is bounded however large it is; one more
-pass over the documents is made for each further block. Documents aren't
-shuffled; their words outside the block's vocabulary are never looked up.
+everything between words is ignored. Words are hashed for a whole batch of texts at
+once, from arrays of their code points. Fixed masks of ``SPAN`` positions read only
+some of the positions: each place of a text has a seed hash of the words read per
+mask. Documents and items meet in a join on the seed hash. As a mask is no longer
+than the shortest passage (12 words), every passage of 12 equal words has a hit of
+every mask; as masks skip positions, most passages of that length with one replaced
+word have a hit as well. Hits are verified on the diagonal (document position minus
+item position): its equal words are cut into overlaps wherever more than
+``MAX_SUBSTITUTIONS`` successive words differ, and an overlap that holds a hit is
+reported with its length, its equal words and its longest run of equal words.
+
+Both sides may be of any size. A Bloom filter of the items' seed hashes, of a fixed
+size, lets a document's seeds through to the join; a document without any sends no row.
+Documents with hits go along as word hashes. Hot seeds and hot items (a
+passage in a third of all documents) are spread over salts.
 
 Defined results: null, empty and blank texts hold no words and leak nothing; a
 repeated document row gives its rows once per (doc_id, item_id); repeated item
@@ -23,161 +24,171 @@ rows likewise; an item of fewer than 12 words can't leak; empty tables give no r
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnfold.llm.sketches import bitmap, maybe
+from tarnfold.operators.skew import salted_join
+from tarnfold.session import cut
+
 SPAN = 12
 MASKS = ("110110111011", "101101011101", "111010010111")
 MIN_RUN = 12
 MAX_SUBSTITUTIONS = 2
-BLOCK_WORDS = 1_000_000
-WORD = re.compile(r"[^\W_]+")
+#: Code points hashed at once; a longer text is a batch of its own.
+BATCH_CHARS = 1 << 21
 
 OVERLAPS = (
     "doc_id bigint, item_id bigint, doc_word int, item_word int, words int, equal_words int, longest_run int, item_words int"
 )
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.casefold()) if text else []
-
-
-class SeedIndex:
-    """Sorted seed hashes of a block of items, one table for each mask."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.vocabulary: dict[str, int] = {}
-        self.item_ids, ids, self.starts = [], [], [0]
-        for item_id, text in items:
-            for w in words(text):
-                ids.append(self.vocabulary.setdefault(w, len(self.vocabulary) + 1))
-            self.item_ids.append(item_id)
-            self.starts.append(len(ids))
-        self.words = np.array(ids, dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(self.item_ids)), np.diff(self.starts))
-        rng = np.random.RandomState(5)
-        self.reads = [np.flatnonzero(np.array(list(m)) == "1") for m in MASKS]
-        self.factors = [rng.randint(1, 2**62, size=len(r)).astype(np.uint64) | np.uint64(1) for r in self.reads]
-        self.tables = []
-        owner_end = np.array(self.starts)[1:][self.owner] if len(ids) else np.zeros(0, dtype=np.int64)
-        fits = np.flatnonzero(np.arange(len(ids)) + SPAN <= owner_end)
-        for k in range(len(MASKS)):
-            h = self.hashes(self.words, k)[fits] if len(fits) else np.zeros(0, dtype=np.uint64)
-            order = np.argsort(h, kind="stable")
-            self.tables.append((h[order], fits[order]))
-
-    def hashes(self, ids: np.ndarray, mask: int) -> np.ndarray:
-        n = len(ids) - SPAN + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        out = np.zeros(n, dtype=np.uint64)
-        for at, factor in zip(self.reads[mask], self.factors[mask], strict=True):
-            out += mixed[at : at + n] * factor
-        return out ^ (out >> np.uint64(31))
-
-    def encode(self, text: str) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in words(text)], dtype=np.int64)
-
-    def overlaps(self, text: str) -> list[tuple[int, int, int, int, int, int, int]]:
-        """``(item, doc_word, item_word, words, equal, longest run, item words)`` of each verified overlap."""
-        ids = self.encode(text)
-        if len(ids) < SPAN:
-            return []
-        hits: set[tuple[int, int]] = set()
-        for k, (table, places) in enumerate(self.tables):
-            h = self.hashes(ids, k)
-            low = np.searchsorted(table, h, side="left")
-            at = np.flatnonzero((low < len(table)) & (table[np.minimum(low, len(table) - 1)] == h)) if len(table) else []
-            if not len(at):
-                continue
-            high = np.searchsorted(table, h[at], side="right")
-            for d, a, b in zip(at, low[at], high, strict=True):
-                hits.update((int(d), int(p)) for p in places[a:b])
-        by_diagonal: dict[int, list[int]] = defaultdict(list)
-        for d, p in hits:
-            by_diagonal[d - p].append(p)
-        out = []
-        for shift, places in by_diagonal.items():
-            done = -1
-            for p in sorted(places):
-                if p < done:
-                    continue
-                item = int(self.owner[p])
-                lo, hi = max(self.starts[item], -shift), min(self.starts[item + 1], len(ids) - shift)
-                same = ids[lo + shift : hi + shift] == self.words[lo:hi]
-                a, b = self._extend(same, p - lo)
-                if a < 0:
-                    continue
-                done = lo + b
-                run = best = 0
-                for x in same[a:b]:
-                    run = run + 1 if x else 0
-                    best = max(best, run)
-                out.append((item, lo + a + shift, lo + a - self.starts[item], b - a, int(same[a:b].sum()), best, self.starts[item + 1] - self.starts[item]))
-        return out
-
-    @staticmethod
-    def _extend(same: np.ndarray, at: int) -> tuple[int, int]:
-        """The overlap around a hit: bounded by more than MAX_SUBSTITUTIONS successive different words."""
-        if not same[at : at + SPAN].any():
-            return -1, -1  # a collision of hashes
-        places = np.flatnonzero(same)
-        k = int(np.searchsorted(places, at))
-        k = min(k, len(places) - 1)
-        a = b = k
-        while a > 0 and places[a] - places[a - 1] <= MAX_SUBSTITUTIONS + 1:
-            a -= 1
-        while b + 1 < len(places) and places[b + 1] - places[b] <= MAX_SUBSTITUTIONS + 1:
-            b += 1
-        return int(places[a]), int(places[b]) + 1
-
-
-def _scan(items: list[tuple[int, str]]):
+READS = [np.flatnonzero(np.array(list(m)) == "1") for m in MASKS]
+_MULTIPLIER = 0x9E3779B97F4A7C15
+
+
+@cache
+def _word_characters() -> np.ndarray:
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+@cache
+def _factors() -> list[np.ndarray]:
+    rng = np.random.RandomState(5)
+    return [rng.randint(1, 2**62, size=len(r)).astype(np.uint64) | np.uint64(1) for r in READS]
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, starts)``: the 64-bit hashes of the words of all texts, and where each text's begin."""
+    folded = [t.casefold() for t in texts]
+    points = np.frombuffer("\n".join([*folded, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    at = np.flatnonzero(_word_characters()[points])
+    starts = np.zeros(len(texts) + 1, dtype=np.int64)
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64), starts
+    begin = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    sizes = np.diff(np.append(begin, len(at)))
+    place = np.arange(len(at)) - np.repeat(begin, sizes)
+    powers = np.full(int(sizes.max()), np.uint64(_MULTIPLIER))
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    hashes = np.add.reduceat((points[at].astype(np.uint64) + np.uint64(1)) * powers[place], begin)
+    hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    ends = np.cumsum([len(f) + 1 for f in folded])
+    starts[1:] = np.searchsorted(at[begin], ends)
+    return hashes ^ (hashes >> np.uint64(29)), starts
+
+
+def seeds(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(seed hashes, places)`` of all masks; a place is that of the span's first word, and no span leaves its text."""
+    n = len(hashes) - SPAN + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    last = np.repeat(starts[1:], np.diff(starts))[:n]
+    fits = np.flatnonzero(np.arange(n) + SPAN <= last)
+    out = []
+    for k, (reads, factors) in enumerate(zip(READS, _factors(), strict=True)):
+        h = np.full(n, np.uint64(k))
+        for at, factor in zip(reads, factors, strict=True):
+            h += hashes[at : at + n] * factor
+        out.append((h ^ (h >> np.uint64(31)))[fits])
+    return np.concatenate(out), np.tile(fits, len(MASKS))
+
+
+def overlaps(doc: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int, int, int, int]]:
+    """``(doc_word, item_word, words, equal, longest run)`` of the overlaps on a diagonal that hold a seed hit."""
+    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+    same = doc[lo + shift : hi + shift] == item[lo:hi]
+    places = np.flatnonzero(same)
+    if len(same) < SPAN or not len(places):
+        return []
+    hit = np.zeros(len(same) - SPAN + 1, dtype=bool)
+    for reads in READS:
+        hit |= np.logical_and.reduce([same[at : at + len(hit)] for at in reads])
+    hits = np.flatnonzero(hit)
+    cuts = np.flatnonzero(np.diff(places) > MAX_SUBSTITUTIONS + 1)
+    first, last = places[np.append(0, cuts + 1)], places[np.append(cuts, len(places) - 1)]
+    out = []
+    for a, b in zip(first, last + 1, strict=True):
+        k = np.searchsorted(hits, a - SPAN + 1)
+        # A mask may begin or end on words that it skips, so a hit may stand out at either side.
+        if k < len(hits) and hits[k] < b:
+            ends = np.flatnonzero(np.diff(np.concatenate([[0], same[a:b].astype(np.int8), [0]])))
+            out.append((int(lo + a + shift), int(lo + a), int(b - a), int(same[a:b].sum()), int((ends[1::2] - ends[0::2]).max())))
+    return out
+
+
+SEEDED = "key bigint, id bigint, words array<bigint>, seeds array<struct<h: bigint, p: int>>"
+
+
+def _seeded(sketch: np.ndarray | None):
+    """Texts -> their word hashes and seeds; with a sketch, only those texts and seeds that it lets through."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = SeedIndex(items)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                for item, *rest in index.overlaps(text):
-                    rows.append((doc_id, index.item_ids[item], *rest))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OVERLAPS.split(", ")])
+            sizes = batch.text.map(len).to_numpy()
+            part = np.cumsum(sizes) // BATCH_CHARS
+            for _, some in batch.groupby(part, sort=False):
+                hashes, starts = words(some.text.to_list())
+                h, at = seeds(hashes, starts)
+                h = h.view(np.int64)
+                if sketch is not None:
+                    keep = np.flatnonzero(maybe(sketch, h))
+                    h, at = h[keep], at[keep]
+                owner = np.searchsorted(starts, at, side="right") - 1
+                order = np.argsort(owner, kind="stable")
+                h, at, owner = h[order], at[order], owner[order]
+                rows = []
+                for i in np.unique(owner):
+                    a, b = np.searchsorted(owner, [i, i + 1])
+                    s = starts[i]
+                    found = [{"h": x, "p": y} for x, y in zip(h[a:b].tolist(), (at[a:b] - s).tolist(), strict=True)]
+                    rows.append((some["key"].iat[i], some["id"].iat[i], hashes[s : starts[i + 1]].view(np.int64), found))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["key", "id", "words", "seeds"])
 
     return run
 
 
-def item_blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, streamed to the driver partition by partition."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    seen = set()
-    for row in items.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
-        n = len(words(row.text))
-        if n < SPAN or (row.item_id, row.text) in seen:
-            continue
-        if size + n > BLOCK_WORDS:
-            blocks.append([])
-            size, seen = 0, set()
-        seen.add((row.item_id, row.text))
-        blocks[-1].append((row.item_id, row.text))
-        size += n
-    return blocks
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in OVERLAPS.split(", ")]
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            for shift in r.shifts:
+                for d, i, n, equal, run in overlaps(r.doc_words, r.item_words, int(shift)):
+                    rows.append((r.doc_id, r.item_id, d, i, n, equal, run, len(r.item_words)))
+        yield pd.DataFrame(rows, columns=names)
+
+
+def _texts(table: DataFrame, name: str) -> DataFrame:
+    """Each text of an id has a key of its own; rows given twice have the same one."""
+    rows = table.select(F.col(name).alias("id"), "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    return rows.select(F.xxhash64("id", "text").alias("key"), "id", "text")
 
 
 def leaked_overlaps(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Every verified overlap between a document and an item; one row per diagonal and place."""
-    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    parts = [texts.mapInPandas(_scan(block), OVERLAPS) for block in item_blocks(items)]
-    return reduce(DataFrame.unionByName, parts)
+    spark = documents.sparkSession
+    held = cut(_texts(items, "item_id").dropDuplicates(["key"]).mapInPandas(_seeded(None), SEEDED))
+    wanted = held.select(F.col("key").alias("item_key"), F.explode("seeds").alias("s")).select("item_key", "s.h", F.col("s.p").alias("q"))
+    sketch = spark.sparkContext.broadcast(bitmap(wanted.select("h")))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _seeded(sketch.value)(batches)
+
+    hits = cut(_texts(documents, "doc_id").mapInPandas(scan, SEEDED))
+    seeds_of = cut(hits.select("key", F.explode("seeds").alias("s")).select("key", "s.h", F.col("s.p").alias("p")).distinct())
+    met = salted_join(seeds_of, wanted, ["h"]).groupBy("key", "item_key").agg(F.collect_set(F.col("p") - F.col("q")).alias("shifts"))
+    texts = hits.select("key", F.col("id").alias("doc_id"), F.col("words").alias("doc_words")).dropDuplicates(["key"])
+    pairs = cut(met.join(texts, "key").drop("key"))
+    sides = held.select(F.col("key").alias("item_key"), F.col("id").alias("item_id"), F.col("words").alias("item_words"))
+    return salted_join(pairs, sides, ["item_key"]).drop("item_key").mapInPandas(_verified, OVERLAPS)
 
 
 def leak_report(overlaps: DataFrame) -> DataFrame:

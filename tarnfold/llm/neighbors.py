@@ -38,6 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfold.operators.skew import salted_join
 from tarnfold.session import cut
 
 DIM = 64
@@ -57,8 +58,6 @@ SHARD_MAX = 60_000
 QUERY_MAX = 120_000
 CALIBRATE = 512
 COVERAGE = 0.995
-#: Vectors held by more than this many rows, or a thousandth of all, are split in the last join.
-HOT = 10_000
 BLOCK = 512
 
 Arrays = tuple[np.ndarray, np.ndarray]
@@ -491,27 +490,13 @@ def most_similar(
         .agg(F.array_sort(F.collect_list(F.struct("rn", "neighbor_id", "cosine"))).alias("near"))
     )
     by_class = lists.join(asking.select("rep", "h1", "h2"), "rep")
-    joined = _members_with_lists(members, by_class, keyed(clean))
+    joined = salted_join(cut(members), by_class, ["h1", "h2"])
     others = F.slice(F.filter("near", lambda x: x["neighbor_id"] != F.col("vec_id")), 1, k)
     return joined.select("vec_id", F.posexplode(others).alias("p", "x")).select(
         "vec_id", (F.col("p") + 1).alias("rank"), F.col("x.neighbor_id").alias("neighbor_id"), F.col("x.cosine").alias("cosine")
     ).where(F.col("cosine") >= floor)
 
 
-def _members_with_lists(members: DataFrame, by_class: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each member with its class's list. Hot classes are split by salt: their lists are few, their members many.
-
-    A hot class holds more than ``HOT`` rows and a thousandth of all, so there are at most a thousand.
-    """
-    sizes = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"))
-    per_class = cut(sizes.where(F.col("n") > HOT))
-    limit = max(HOT, rows.count() // 1000)
-    salts = F.broadcast(per_class.where(F.col("n") > limit).select("h1", "h2", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
-    salted = members.join(salts, ["h1", "h2"], "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.coalesce("salts", F.lit(1)))).drop("salts")
-    copied = by_class.join(salts, ["h1", "h2"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return salted.join(copied, ["h1", "h2", "salt"])
-
-
 def found(vectors: DataFrame, floor: float = 0.90, k: int = K, dim: int = DIM) -> DataFrame:
     """``(vec_a, vec_b)``: pairs with cosine at least ``floor``, one among the other's ``k`` nearest."""
     near = most_similar(vectors, k, floor, dim=dim, beam=FOUND_BEAM)

@@ -1,11 +1,13 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnfold.llm import credentials, encoding, leakage, packing, splitting
+from tarnfold.llm import credentials, encoding, leakage, packing, sketches, splitting
 
 # ------------------------------------------------------------------ splitting
 
@@ -83,23 +85,27 @@ def test_split_rows_lines_and_dirty_input(spark):
 ITEM = " ".join(f"w{i}ord" for i in range(40))
 
 
+def words_of(text):
+    return re.findall(r"[^\W_]+", text.casefold()) if text else []
+
+
 def brute(docs, items):
     grams = {}
     for i, t in items:
-        w = leakage.words(t)
+        w = words_of(t)
         for a in range(len(w) - 11):
             grams.setdefault(tuple(w[a : a + 12]), set()).add(i)
-    return {(d, i) for d, t in docs for w in [leakage.words(t)] for a in range(len(w) - 11) for i in grams.get(tuple(w[a : a + 12]), ())}
+    return {(d, i) for d, t in docs for w in [words_of(t)] for a in range(len(w) - 11) for i in grams.get(tuple(w[a : a + 12]), ())}
 
 
-def test_leaks_equal_brute_force(spark, monkeypatch):
+def test_leaks_equal_brute_force(spark):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(30)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 40)))) for i in range(30)] + [(7, ITEM), (8, None), (9, ITEM), (9, ITEM)]
     docs = []
     for d in range(150):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
-        source = leakage.words(rng.choice(items)[1])
+        source = words_of(rng.choice(items)[1])
         if source:
             a = rng.randint(0, len(source) - 1)
             words[5:5] = source[a : a + rng.randint(8, 16)]
@@ -108,12 +114,28 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
     it = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute(docs, [x for x in items if x[1]])
-    for block in (1_000_000, 60):
-        monkeypatch.setattr(leakage, "BLOCK_WORDS", block)
-        assert {(r.doc_id, r.item_id) for r in leakage.found(df, it).collect()} == want and (903, 9) in want
+    assert {(r.doc_id, r.item_id) for r in leakage.found(df, it).collect()} == want and (903, 9) in want
     assert leakage.found(df, it.where("false")).count() == 0 and leakage.found(df.where("false"), it).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aB_ .\n\u0130ß漢½é-", max_size=40), max_size=6))
+def test_words_are_those_of_the_regex(texts):
+    hashes, starts = leakage.words(texts)
+    known = {}
+    for k, t in enumerate(texts):
+        got, want = hashes[starts[k] : starts[k + 1]].tolist(), words_of(t)
+        assert len(got) == len(want) and all(known.setdefault(w, h) == h for w, h in zip(want, got, strict=True))
+    assert len(set(known.values())) == len(known)
+
+
+def test_sketch_never_loses_a_hash(spark):
+    values = [random.Random(i).getrandbits(63) - 2**62 for i in range(500)]
+    bits = sketches.bitmap(spark.createDataFrame([(v,) for v in values], "h bigint"), 1 << 14)
+    assert sketches.maybe(bits, np.array(values)).all() and not sketches.maybe(bits, np.arange(1000, dtype=np.int64)).all()
+    assert not sketches.maybe(sketches.bitmap(spark.createDataFrame([], "h bigint"), 1 << 14), np.array(values)).any()
+
+
 def test_replaced_words_are_tolerated_in_the_report(spark):
     words = ITEM.split()
     words[20] = "other"

@@ -100,27 +100,41 @@ def seeds(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out), np.tile(fits, len(MASKS))
 
 
-def overlaps(doc: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int, int, int, int]]:
-    """``(doc_word, item_word, words, equal, longest run)`` of the overlaps on a diagonal that hold a seed hit."""
-    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    same = doc[lo + shift : hi + shift] == item[lo:hi]
-    places = np.flatnonzero(same)
-    if len(same) < SPAN or not len(places):
-        return []
-    hit = np.zeros(len(same) - SPAN + 1, dtype=bool)
+def overlaps(docs: list[np.ndarray], items: list[np.ndarray], pair: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(pair, doc_word, item_word, words, equal, longest run)`` of the overlaps that hold a seed hit, on all diagonals at once.
+
+    ``pair`` and ``shift`` name the diagonals: document word minus item word, of which document and item.
+    """
+    d_size, i_size = np.array([len(x) for x in docs]), np.array([len(x) for x in items])
+    lo, hi = np.maximum(0, -shift), np.minimum(i_size[pair], d_size[pair] - shift)
+    some = np.flatnonzero(hi - lo >= SPAN)
+    pair, shift, lo, n = pair[some], shift[some], lo[some], (hi - lo)[some]
+    if not len(n):
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+    start = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n)
+    item_word = np.arange(len(row)) - start[row] + lo[row]
+    in_doc = (np.cumsum(d_size) - d_size)[pair[row]] + item_word + shift[row]
+    in_item = (np.cumsum(i_size) - i_size)[pair[row]] + item_word
+    same = np.concatenate(docs)[in_doc] == np.concatenate(items)[in_item]
+    whole = np.concatenate([same, np.zeros(SPAN, dtype=bool)])
+    hit = np.zeros(len(same), dtype=bool)
     for reads in READS:
-        hit |= np.logical_and.reduce([same[at : at + len(hit)] for at in reads])
-    hits = np.flatnonzero(hit)
-    cuts = np.flatnonzero(np.diff(places) > MAX_SUBSTITUTIONS + 1)
-    first, last = places[np.append(0, cuts + 1)], places[np.append(cuts, len(places) - 1)]
-    out = []
-    for a, b in zip(first, last + 1, strict=True):
-        k = np.searchsorted(hits, a - SPAN + 1)
-        # A mask may begin or end on words that it skips, so a hit may stand out at either side.
-        if k < len(hits) and hits[k] < b:
-            ends = np.flatnonzero(np.diff(np.concatenate([[0], same[a:b].astype(np.int8), [0]])))
-            out.append((int(lo + a + shift), int(lo + a), int(b - a), int(same[a:b].sum()), int((ends[1::2] - ends[0::2]).max())))
-    return out
+        hit |= np.logical_and.reduce([whole[at : at + len(same)] for at in reads])
+    hit &= np.arange(len(row)) <= (start + n - SPAN)[row]
+    hits, equal = np.concatenate([[0], np.cumsum(hit)]), np.concatenate([[0], np.cumsum(same)])
+    places = np.flatnonzero(same)
+    if not len(places):
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+    step, other = np.diff(places), np.diff(row[places]) > 0
+    run = np.append(0, np.flatnonzero((step > 1) | other) + 1)
+    part = np.append(0, np.flatnonzero((step > MAX_SUBSTITUTIONS + 1) | other) + 1)
+    longest = np.maximum.reduceat(np.diff(np.append(run, len(places))), np.searchsorted(run, part))
+    a, b = places[part], places[np.append(part[1:], len(places)) - 1] + 1
+    # A mask may begin or end on words that it skips, so a hit may stand out at either side.
+    fine = np.flatnonzero(hits[b] > hits[np.maximum(a - SPAN + 1, start[row[a]])])
+    a, b, longest = a[fine], b[fine], longest[fine]
+    return pair[row[a]], item_word[a] + shift[row[a]], item_word[a], b - a, equal[b] - equal[a], longest
 
 
 SEEDED = "key bigint, id bigint, words array<bigint>, seeds array<struct<h: bigint, p: int>>"
@@ -156,14 +170,17 @@ def _seeded(sketch: np.ndarray | None):
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in OVERLAPS.split(", ")]
     for batch in batches:
-        rows = []
-        for r in batch.itertuples(index=False):
-            for shift in r.shifts:
-                for d, i, n, equal, run in overlaps(r.doc_words, r.item_words, int(shift)):
-                    rows.append((r.doc_id, r.item_id, d, i, n, equal, run, len(r.item_words)))
-        yield pd.DataFrame(rows, columns=names)
+        sizes = batch.item_words.map(len).to_numpy() * batch.shifts.map(len).to_numpy()
+        for _, some in batch.groupby(np.cumsum(sizes) // BATCH_CHARS, sort=False):
+            shifts = [np.asarray(x, dtype=np.int64) for x in some.shifts]
+            pair = np.repeat(np.arange(len(some)), [len(x) for x in shifts])
+            items = some.item_words.to_list()
+            pair, d, i, n, equal, run = overlaps(some.doc_words.to_list(), items, pair, np.concatenate(shifts))
+            yield pd.DataFrame({
+                "doc_id": some.doc_id.to_numpy()[pair], "item_id": some.item_id.to_numpy()[pair], "doc_word": d, "item_word": i,
+                "words": n, "equal_words": equal, "longest_run": run, "item_words": np.array([len(x) for x in items])[pair],
+            })
 
 
 def _texts(table: DataFrame, name: str) -> DataFrame:
@@ -172,8 +189,12 @@ def _texts(table: DataFrame, name: str) -> DataFrame:
     return rows.select(F.xxhash64("id", "text").alias("key"), "id", "text")
 
 
-def leaked_overlaps(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Every verified overlap between a document and an item; one row per diagonal and place."""
+def leaked_overlaps(documents: DataFrame, items: DataFrame, masks: int = 1) -> DataFrame:
+    """Every verified overlap between a document and an item; one row per diagonal and place.
+
+    ``masks``: how many masks must agree on a place for its diagonal to be verified. A run
+    of ``SPAN`` equal words has the hits of all of them.
+    """
     spark = documents.sparkSession
     held = cut(_texts(items, "item_id").dropDuplicates(["key"]).mapInPandas(_seeded(None), SEEDED))
     wanted = held.select(F.col("key").alias("item_key"), F.explode("seeds").alias("s")).select("item_key", "s.h", F.col("s.p").alias("q"))
@@ -184,7 +205,10 @@ def leaked_overlaps(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     hits = cut(_texts(documents, "doc_id").mapInPandas(scan, SEEDED))
     seeds_of = cut(hits.select("key", F.explode("seeds").alias("s")).select("key", "s.h", F.col("s.p").alias("p")).distinct())
-    met = salted_join(seeds_of, wanted, ["h"]).groupBy("key", "item_key").agg(F.collect_set(F.col("p") - F.col("q")).alias("shifts"))
+    met = salted_join(seeds_of, wanted, ["h"]).select("key", "item_key", "p", "q")
+    if masks > 1:
+        met = met.groupBy("key", "item_key", "p", "q").agg(F.count("*").alias("n")).where(F.col("n") >= masks)
+    met = met.groupBy("key", "item_key").agg(F.collect_set(F.col("p") - F.col("q")).alias("shifts"))
     texts = hits.select("key", F.col("id").alias("doc_id"), F.col("words").alias("doc_words")).dropDuplicates(["key"])
     pairs = cut(met.join(texts, "key").drop("key"))
     sides = held.select(F.col("key").alias("item_key"), F.col("id").alias("item_id"), F.col("words").alias("item_words"))
@@ -203,4 +227,5 @@ def leak_report(overlaps: DataFrame) -> DataFrame:
 
 def found(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``(doc_id, item_id)``: the document holds at least ``min_run`` successive words of the item."""
-    return leaked_overlaps(documents, items).where(F.col("longest_run") >= min_run).select("doc_id", "item_id").distinct()
+    sure = len(MASKS) if min_run >= SPAN else 1
+    return leaked_overlaps(documents, items, sure).where(F.col("longest_run") >= min_run).select("doc_id", "item_id").distinct()

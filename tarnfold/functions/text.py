@@ -72,9 +72,10 @@ def term_count(marked_text: Column) -> Column:
     return parts + several
 
 
-def explode_terms(rows: DataFrame, marked_text: str, *keep: str) -> DataFrame:
-    """``(*keep, term)``: the terms of a marked text as rows, through generated code only."""
+def explode_terms(rows: DataFrame, marked_text: str, *keep: str, empty: bool = False) -> DataFrame:
+    """``(*keep, term)``: the terms of a marked text as rows, through generated code only; with an empty term first on demand."""
     words = F.regexp_extract_all(marked_text, F.lit(rf"[\p{{L}}\p{{Nd}}{MARK}]+"), F.lit(0))
+    words = F.concat(F.array(F.lit("")), words) if empty else words
     each = rows.select(*keep, F.explode(words).alias("_w"))
     low = F.lower("_w")
     alone = F.array(low)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tarnfold.functions.vectors import DIM, cache_key, mock_embedding
 
 BATCH = 128
+#: Rows are numbered in slices of equal first characters: hashes of the cache fall into 4,096 of them.
+SLICE_CHARS = 3
 
 
 class Embedder(Protocol):
@@ -45,9 +47,16 @@ def embed_cached(texts: DataFrame, cache: DataFrame, embedder: Embedder) -> tupl
 
 
 def batches(texts: DataFrame, order: str, size: int = BATCH) -> DataFrame:
-    """``(batch, index)`` of each row for requests of at most ``size`` texts, per ``part``.
+    """``(batch, index)`` of each row for requests of at most ``size`` texts, per ``part``, in the order of a text column.
 
-    Numbers run within a part (a partition key of the caller), so no global order is needed.
+    A part may hold a third of all rows, so it is numbered in slices: those of equal first
+    characters of the order column. Slices are counted, and each continues where the one before ended.
     """
-    n = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    return texts.withColumn("batch", F.floor(n / size).cast("int")).withColumn("index", (n % size).cast("int"))
+    sliced = texts.withColumn("_slice", F.substring(order, 1, SLICE_CHARS))
+    before = Window.partitionBy("part").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sliced.groupBy("part", "_slice").agg(F.count("*").alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    starts = starts.withColumnsRenamed({"part": "_part", "_slice": "_same"})
+    joined = sliced.join(starts, F.col("part").eqNullSafe(F.col("_part")) & F.col("_slice").eqNullSafe(F.col("_same")))
+    n = F.col("_from") + F.row_number().over(Window.partitionBy("part", "_slice").orderBy(order)) - 1
+    numbered = joined.withColumn("_at", n).drop("_part", "_same", "_slice", "_from")
+    return numbered.withColumn("batch", F.floor(F.col("_at") / size).cast("int")).withColumn("index", (F.col("_at") % size).cast("int")).drop("_at")

@@ -15,6 +15,8 @@ from tarnfold.operators.lexical import DECIMALS, top_k
 
 #: Queries that every worker holds at a time; more of them are further passes.
 BLOCK = 4096
+#: Parts of a corpus that meet its queries apart.
+SPREAD = 16
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
@@ -75,13 +77,16 @@ def corpus_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Cosine ranking within each query's own corpus.
 
     ``queries(query_id, corpus_id, vec)`` meet ``chunks(corpus_id, chunk_id, path,
-    start_line, vec)`` by an equi-join on the corpus; every chunk is a candidate.
+    start_line, vec)`` by an equi-join on the corpus; every chunk is a candidate. A
+    corpus is spread over ``SPREAD`` salts, each with a copy of its queries, so that a hot one isn't one task.
     """
     # Norms are taken once per vector, before the join multiplies the rows.
     q = queries.select("query_id", "corpus_id", F.col("vec").alias("_q"), norm(F.col("vec")).alias("_nq"))
     c = chunks.select("corpus_id", "chunk_id", "path", "start_line", "vec", norm(F.col("vec")).alias("_nc"))
+    c = c.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD)).cast("int"))
+    q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     size = F.col("_nq") * F.col("_nc")
     usable = F.coalesce((F.size("vec") == F.size("_q")) & (size > 0), F.lit(False))
     score = F.when(usable, dot(F.col("vec"), F.col("_q")) / size).otherwise(0.0)
-    scored = c.join(q, "corpus_id").select("query_id", "corpus_id", "chunk_id", "path", "start_line", score.alias("score"))
+    scored = c.join(q, ["corpus_id", "_salt"]).select("query_id", "corpus_id", "chunk_id", "path", "start_line", score.alias("score"))
     return top_k(scored, k).select("query_id", "rank", "corpus_id", "chunk_id", "path", "start_line", "score")

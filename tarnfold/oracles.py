@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from tarnfold.functions.text import SPACE
+from tarnfold.sources.files import TEMPLATE
 
 NB = f"[^{SPACE}]"
 TRIM = f"^[{SPACE}]+|[{SPACE}]+$"
 
 
+def _byte_cut(text: str, most: int) -> str:
+    """The first bytes of a text; a character cut in two becomes one replacement character."""
+    head = [f"try(decode(encode({text})[1:{most - k}]))" for k in range(4)]
+    return f"coalesce({head[0]}, {', '.join(h + ' || chr(65533)' for h in head[1:])})"
+
+
 def _terms(column: str) -> str:
     """List of terms of a text: words with part breaks as spaces, then the whole word before its parts."""
     marked = f"regexp_extract_all({column}, '[\\p{{L}}\\p{{Nd}}]+')"
@@ -148,13 +155,13 @@ SQL = {
         SELECT corpus_id, CASE WHEN window_lines > 0 THEN window_lines ELSE 50 END AS w, coalesce(overlap_lines, 0) AS o FROM corpora)""",
     "cap_walk_order": f"WITH {CHUNKS} SELECT corpus_id, path, start_line FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY string_split(path, '/'), start_line) AS rn FROM ch) WHERE rn <= 50",
     "skip_dirs": """SELECT DISTINCT corpus_id, path FROM chunks WHERE NOT regexp_matches(path, '(?:^|/)(?:\\.git|node_modules|vendor|\\.venv|venv|__pycache__|\\.mypy_cache|\\.pytest_cache|\\.tox|\\.idea|\\.vscode)/')""",
-    "file_filters": "SELECT doc_id, strlen(text) > 4096 AS too_large, contains(text, chr(0)) AS is_binary FROM documents WHERE text IS NOT NULL",
+    "file_filters": "SELECT doc_id, strlen(text) > 1048576 AS too_large, contains(text, chr(0)) AS is_binary FROM documents WHERE text IS NOT NULL",
     "semantic_topk": """WITH v AS (SELECT vec_id, vec::DOUBLE[] AS v FROM chunk_vectors WHERE len(vec) = 64 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
         s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.v, v.v), 6) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
         SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
     "cosine_pairs": """SELECT a.vec_id, b.vec_id AS other_id, CASE WHEN len(a.vec) = len(b.vec) AND len(a.vec) > 0 AND list_sum(list_transform(a.vec, lambda x: abs(x))) > 0
         AND list_sum(list_transform(b.vec, lambda x: abs(x))) > 0 THEN round(list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) ELSE 0.0 END AS cosine
-        FROM chunk_vectors a JOIN chunk_vectors b ON a.chunk_id = b.chunk_id AND a.vec_id < b.vec_id""",
+        FROM chunk_vectors a JOIN chunk_vectors b ON b.vec_id = a.vec_id + 1""",
     "normalize_vec": f"""SELECT vec_id, (generate_subscripts(u, 1) - 1)::INT AS i, round(unnest(u)::DOUBLE, 5) AS x FROM (SELECT vec_id,
         CASE WHEN list_sum(list_transform(v, lambda x: abs(x))) > 0 THEN {UNIT} ELSE v END AS u FROM (SELECT vec_id, vec AS v FROM chunk_vectors WHERE len(vec) > 0))""",
     "mock_embed": f"""SELECT item_id, (generate_subscripts(u, 1) - 1)::INT AS i, round(unnest(u)::DOUBLE, 5) AS x FROM (SELECT item_id, {UNIT} AS u FROM (SELECT item_id, {_mock('text')} AS v FROM eval_items))""",
@@ -177,7 +184,7 @@ SQL = {
     "format_table": f"WITH {LATEST}, s AS ({SUMMARY}) SELECT printf('%-10s %4d %4d %8d %12.3f %12.3f', mode, k, n, errors, mean_recall, full_hit_rate) AS line FROM s",
     "failed_rows": f"""WITH {ONCE} SELECT instance_id, mode, k, 0.0::DOUBLE AS recall_at_k, false AS full_hit, 'checkout failed' AS error FROM once o
         CROSS JOIN (VALUES ('lexical'), ('semantic')) m(mode) CROSS JOIN (VALUES (5), (10), (20)) v(k)
-        WHERE NOT EXISTS (SELECT 1 FROM corpora c WHERE c.repo = o.repo AND c.base_commit = o.base_commit)""",
+        WHERE NOT EXISTS (SELECT 1 FROM corpora c WHERE c.repo = o.repo AND c.base_commit = o.environment_setup_commit)""",
     "sorted_unique_ks": "SELECT instance_id, coalesce(array_to_string(list_sort(list_distinct(list(k) FILTER (k > 0))), ','), '10') AS ks FROM recall_results GROUP BY 1",
     "distinct_files": f"WITH {BM25} SELECT instance_id, string_agg(path, '|' ORDER BY r) AS files FROM (SELECT instance_id, path, min(rank) AS r FROM lex WHERE rank <= 10 GROUP BY 1, 2) GROUP BY 1",
     "plausible_hit": "SELECT prediction_id, coalesce(list_has_any(changed_files, retrieved_files), false) AS hit FROM predictions",
@@ -209,26 +216,30 @@ SQL = {
     "recount_hunks": f"WITH src AS (SELECT prediction_id, model_patch AS s FROM predictions WHERE model_patch <> ''), {_recount('src')} SELECT prediction_id, md5(s) AS digest FROM counted",
     "validate_diff": f"SELECT prediction_id, coalesce({_problem('coalesce(model_patch, chr(32))')}, '') AS problem FROM predictions",
     "prompt_assembly": f"""WITH {BM25}, p AS (SELECT instance_id, string_agg(chr(10) || repeat('-', 40) || chr(10) || 'File: ' || path || '  (lines ' || start_line || '-' || end_line || ')' || chr(10) || repeat('-', 40) || chr(10)
-          || CASE WHEN length(content) > 400 THEN substring(content, 1, 400) || chr(10) || '… (truncated)' ELSE content END || chr(10), '' ORDER BY rank) AS x
-          FROM lex JOIN (SELECT chunk_id, end_line, content FROM ch) USING (chunk_id) WHERE rank <= 5 GROUP BY 1),
+          || CASE WHEN length(content) > 4000 THEN substring(content, 1, 4000) || chr(10) || '… (truncated)' ELSE content END || chr(10), '' ORDER BY rank) AS x
+          FROM lex JOIN (SELECT chunk_id, end_line, content FROM ch) USING (chunk_id) WHERE rank <= 20 GROUP BY 1),
         m AS (SELECT instance_id, 'Bug report:' || chr(10) || chr(10) || regexp_replace(coalesce(problem_statement, ''), '{TRIM}', '', 'g') || chr(10) || chr(10) || CASE WHEN x IS NULL
           THEN 'No repository excerpts were retrieved. Infer the fix from the report.' || chr(10)
           ELSE 'Relevant code from the repository (most relevant first):' || chr(10) || x || chr(10) || 'Now output the unified diff that fixes the bug.' || chr(10) END AS message FROM inst LEFT JOIN p USING (instance_id))
         SELECT instance_id, md5(message) AS digest, length(message)::INT AS n FROM m""",
     "caps": "SELECT doc_id, md5(substring(text, 1, 100)) AS query, md5(CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || chr(10) || '… (truncated)' ELSE text END) AS excerpt FROM documents WHERE text IS NOT NULL",
+    "cap_logs": f"""SELECT doc_id, md5(CASE WHEN strlen(text) > 16384 THEN {_byte_cut('text', 16384)} || chr(10) || '...[truncated]' ELSE text END) AS log,
+        md5(CASE WHEN strlen(text) > 1000 THEN {_byte_cut('text', 1000)} || chr(10) || '...[truncated]' ELSE text END) AS short FROM documents WHERE text IS NOT NULL""",
+    "render_template": f"""SELECT corpus_id, replace('{TEMPLATE}', '{{{{.Repo}}}}', repo) AS prompt FROM corpora""",
     "first_line_preview": f"""WITH {CHUNKS}, l AS (SELECT chunk_id, coalesce(list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '{TRIM}', '', 'g')), lambda x: x <> '')[1], '') AS l FROM ch)
-        SELECT chunk_id, CASE WHEN strlen(l) > 100 THEN substring(l, 1, 100) || '…' ELSE l END AS preview FROM l WHERE regexp_matches(substring(l, 1, 100), '^[ -~]*$')""",
+        SELECT chunk_id, CASE WHEN strlen(l) > 100 THEN {_byte_cut('l', 100)} || '…' ELSE l END AS preview FROM l""",
     "stop_reason": """SELECT model, reason, truncated, count(*) AS n FROM (SELECT model_name_or_path AS model, coalesce(CASE WHEN stop_reason = 'length' THEN 'max_tokens' ELSE stop_reason END, '') AS reason,
         coalesce(stop_reason IN ('length', 'max_tokens'), false) AS truncated FROM predictions) GROUP BY 1, 2, 3""",
     "run_counters": f"""SELECT model_name_or_path AS model, count(*) AS n, count(*) FILTER (NOT coalesce(regexp_matches(err, '{NB}'), false) AND model_patch <> '') AS valid,
         count(*) FILTER (coalesce(plausible_hit, false)) AS plausible, count(*) FILTER (coalesce(regexp_matches(err, '{NB}'), false)) AS errored FROM predictions GROUP BY 1""",
     "backoff_delay": """SELECT attempt, asked, least(30.0, greatest(least(30.0, 0.5 * pow(2.0, attempt)), coalesce(asked, 0)))::DOUBLE AS delay FROM (
         SELECT DISTINCT k % 9 AS attempt, chunks_indexed % 40 AS asked FROM recall_results)""",
-    "retry_after": """SELECT header, (CASE WHEN regexp_matches(header, '^[0-9]+$') AND length(header) < 10 AND header::BIGINT > 0 THEN header::BIGINT ELSE 0 END)::INT AS seconds FROM (
-        SELECT repo_version AS header FROM instances UNION SELECT output_tokens::VARCHAR FROM predictions) WHERE header IS NOT NULL AND regexp_matches(header, '^[0-9a-z.]+$')""",
+    "retry_after": """SELECT header, coalesce(CASE WHEN regexp_matches(trim(header), '^[0-9]+$') AND length(trim(header)) < 10 THEN trim(header)::INT END, 0)::INT AS seconds FROM (
+        SELECT repo_version AS header FROM instances UNION SELECT strftime(created_at, '%Y-%m-%d') FROM instances UNION SELECT output_tokens::VARCHAR FROM predictions
+        UNION SELECT stop_reason FROM predictions UNION SELECT ' ' || input_tokens::VARCHAR || ' ' FROM predictions UNION SELECT ' ')""",
     "mock_reply": f"""WITH {ONCE} SELECT instance_id, md5(CASE WHEN contains(lower(coalesce(problem_statement, '')), 'cach') THEN 'two' WHEN contains(lower(coalesce(problem_statement, '')), 'pagination') THEN 'one'
         WHEN contains(lower(coalesce(problem_statement, '')), 'token') THEN 'three' ELSE repo END) AS digest FROM once""",
-    "error_bodies": f"""SELECT prediction_id, CASE WHEN e = '' THEN '(empty body)' WHEN strlen(e) > 20 THEN substring(e, 1, 20) || '…' ELSE e END AS message FROM (
+    "error_bodies": f"""SELECT prediction_id, CASE WHEN e = '' THEN '(empty body)' WHEN strlen(e) > 300 THEN substring(e, 1, 300) || '…' ELSE e END AS message FROM (
         SELECT prediction_id, regexp_replace(coalesce(err, ''), '{TRIM}', '', 'g') AS e FROM predictions)""",
     "predictions_rows": "SELECT prediction_id, instance_id, model_name_or_path, md5(model_patch) AS digest FROM predictions",
     "task_projection": f"WITH {ONCE} SELECT instance_id, repo, base_commit, md5(problem_statement) AS statement FROM once",

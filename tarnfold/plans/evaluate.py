@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import subprocess
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,22 +36,46 @@ def run_command(folder: str, command: list[str], timeout: float = 1800.0) -> tup
     return done.stdout, None
 
 
-def run_candidates(candidates: DataFrame, command: list[str]) -> DataFrame:
+class Environment(Protocol):
+    """Where a candidate is tried: applies patches (null, or what went wrong) and runs a command (output, error)."""
+
+    def apply(self, folder: str, patch: str | None) -> str | None: ...
+
+    def run(self, folder: str, command: list[str]) -> tuple[str, str | None]: ...
+
+
+@dataclass(frozen=True)
+class LocalEnvironment:
+    """git and processes on the executor itself."""
+
+    patch_timeout: float = 120.0
+    run_timeout: float = 1800.0
+
+    def apply(self, folder: str, patch: str | None) -> str | None:
+        return apply_patch(folder, patch, self.patch_timeout)
+
+    def run(self, folder: str, command: list[str]) -> tuple[str, str | None]:
+        return run_command(folder, command, self.run_timeout)
+
+
+def run_candidates(candidates: DataFrame, command: list[str], where: Environment | None = None) -> DataFrame:
     """``(instance_id, patch_applied, log, error)`` of ``candidates(instance_id, folder, model_patch, test_patch)``.
 
     Each folder is a clean checkout that serves one candidate.
     """
 
+    where = where or LocalEnvironment()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for c in batch.itertuples(index=False):
-                if problem := apply_patch(c.folder, c.model_patch):
+                if problem := where.apply(c.folder, c.model_patch):
                     rows.append((c.instance_id, False, None, f"candidate patch did not apply: {problem}"))
-                elif problem := apply_patch(c.folder, c.test_patch):
+                elif problem := where.apply(c.folder, c.test_patch):
                     rows.append((c.instance_id, True, None, f"test_patch did not apply (invalid instance/setup): {problem}"))
                 else:
-                    log, problem = run_command(c.folder, command)
+                    log, problem = where.run(c.folder, command)
                     rows.append((c.instance_id, True, log, f"running tests: {problem}" if problem else None))
             yield pd.DataFrame(rows, columns=["instance_id", "patch_applied", "log", "error"])
 

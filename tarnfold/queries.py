@@ -11,6 +11,7 @@ from tarnfold.functions import diffs, scalars, text, vectors
 from tarnfold.operators import chunking, context, embedding, hybrid, lexical, logs, prompts, recall, semantic
 from tarnfold.operators.config import ChunkConfig, effective_overlap, effective_window
 from tarnfold.session import table
+from tarnfold.sources.files import TEMPLATE
 
 Query = Callable[[SparkSession, str], DataFrame]
 MAX_QUERY = 4000
@@ -106,9 +107,10 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "chunk_vectors").select("vec_id", "chunk_id", "vec")
-    w = v.select("chunk_id", F.col("vec_id").alias("other_id"), F.col("vec").alias("other"))
-    pairs = v.join(w, "chunk_id").where("vec_id < other_id")
+    """Each vector with the one of the next id: all kinds of unusable ones meet usable ones."""
+    v = table(spark, d, "chunk_vectors").select("vec_id", "vec", (F.col("vec_id") + 1).alias("other_id"))
+    w = v.select(F.col("vec_id").alias("other_id"), F.col("vec").alias("other"))
+    pairs = v.join(w, "other_id")
     return pairs.select("vec_id", "other_id", F.round(vectors.cosine(F.col("vec"), F.col("other")), 6).alias("cosine"))
 
 
@@ -183,10 +185,10 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def failed_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Instances without a valid checkout fail for every mode and k."""
+    """Instances without a checkout of the commit that their environment is set up from fail for every mode and k."""
     once = table(spark, d, "instances").dropDuplicates(["instance_id"])
-    corpora = table(spark, d, "corpora").select("repo", "base_commit")
-    lost = once.join(corpora, ["repo", "base_commit"], "left_anti").select(
+    there = table(spark, d, "corpora").select("repo", F.col("base_commit").alias("environment_setup_commit"))
+    lost = once.join(there, ["repo", "environment_setup_commit"], "left_anti").select(
         F.col("instance_id").alias("query_id"), diffs.changed_files(F.col("patch")).alias("changed_files"), F.lit("checkout failed").alias("error")
     )
     rows = recall.failed_rows(lost, ["lexical", "semantic"], KS)
@@ -247,7 +249,7 @@ def skip_dirs(spark: SparkSession, d: str) -> DataFrame:
 
 def file_filters(spark: SparkSession, d: str) -> DataFrame:
     body = F.col("text").cast("binary")
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", (F.octet_length(body) > 4096).alias("too_large"), scalars.is_binary(body).alias("is_binary"))
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", (F.octet_length(body) > 1_048_576).alias("too_large"), scalars.is_binary(body).alias("is_binary"))
     return rows
 
 
@@ -284,7 +286,9 @@ def score_instance(spark: SparkSession, d: str) -> DataFrame:
     by_repo = parsed.join(_test_logs(spark, d).select("doc_id", "repo"), "doc_id").groupBy("repo", "test").agg(F.min("status").alias("status"))
     once = table(spark, d, "instances").dropDuplicates(["instance_id"])
     lists = once.select("instance_id", "repo", scalars.string_list(F.col("fail_to_pass")).alias("fail_to_pass"), scalars.string_list(F.col("pass_to_pass")).alias("pass_to_pass"))
-    statuses = lists.select("instance_id", "repo").join(by_repo, "repo").select("instance_id", "test", "status")
+    # The required tests meet the statuses of their own names only.
+    required = lists.select("instance_id", "repo", F.explode(F.array_union("fail_to_pass", "pass_to_pass")).alias("test"))
+    statuses = required.join(by_repo, ["repo", "test"]).select("instance_id", "test", "status")
     rows = logs.score_instances(lists, statuses)
     count = lambda m: F.size(F.filter(F.map_values(m), lambda s: s == "MISSING"))
     return rows.select("instance_id", "resolved", count("fail_to_pass").alias("f_missing"), count("pass_to_pass").alias("p_missing"))
@@ -318,10 +322,10 @@ def validate_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_assembly(spark: SparkSession, d: str) -> DataFrame:
-    ranked = _lexical(spark, d, 5)
+    ranked = _lexical(spark, d, prompts.MAX_CHUNKS)
     ctx = ranked.select("query_id", "rank", "chunk_id").join(_chunks(spark, d), "chunk_id")
     reports = _instances(spark, d).select(F.col("instance_id").alias("query_id"), F.col("problem_statement").alias("text"))
-    rows = prompts.user_messages(reports, ctx, max_chunks=5, max_code_points=400)
+    rows = prompts.user_messages(reports, ctx)
     return _public(rows, F.md5("message").alias("digest"), F.char_length("message").alias("n"))
 
 
@@ -332,6 +336,16 @@ def caps(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def cap_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as a run's log is stored: cut at a number of bytes."""
+    rows = table(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", F.md5(text.cap_bytes(F.col("text"))).alias("log"), F.md5(text.cap_bytes(F.col("text"), 1000)).alias("short"))
+
+
+def render_template(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "corpora").select("corpus_id", prompts.system_prompts(F.col("repo"), TEMPLATE).alias("prompt"))
+
+
 def first_line_preview(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).select("chunk_id", text.first_line(F.col("content")).alias("preview"))
 
@@ -356,10 +370,12 @@ def backoff_delay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retry_after(spark: SparkSession, d: str) -> DataFrame:
-    """Any text may be in the header; versions, names and numbers stand for it."""
-    heads = table(spark, d, "instances").select(F.col("repo_version").alias("header")).unionByName(
-        table(spark, d, "predictions").select(F.col("output_tokens").cast("string").alias("header"))
-    ).where("header is not null and header rlike '^[0-9a-z.]+$'").distinct()
+    """Any text may be in the header: versions, dates, words, blanks and padded numbers stand for it."""
+    i, p = table(spark, d, "instances"), table(spark, d, "predictions")
+    heads = i.select(F.col("repo_version").alias("header")).unionByName(i.select(F.date_format("created_at", "yyyy-MM-dd").alias("header")))
+    for head in (F.col("output_tokens").cast("string"), F.col("stop_reason"), F.concat(F.lit(" "), F.col("input_tokens").cast("string"), F.lit(" ")), F.lit(" ")):
+        heads = heads.unionByName(p.select(head.alias("header")))
+    heads = heads.distinct()
     return heads.select("header", scalars.retry_after_seconds(F.col("header")).alias("seconds"))
 
 
@@ -370,7 +386,7 @@ def mock_reply(spark: SparkSession, d: str) -> DataFrame:
 
 
 def error_bodies(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "predictions").select("prediction_id", text.error_body(F.col("err"), 20).alias("message"))
+    return table(spark, d, "predictions").select("prediction_id", text.error_body(F.col("err")).alias("message"))
 
 
 def predictions_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -392,7 +408,7 @@ def queries() -> dict[str, Query]:
         reply_order, rrf_hybrid_topk, changed_files, recall_at_k, recall_sweep, recall_summary, summarize, format_table, failed_rows, sorted_unique_ks,
         distinct_files, plausible_hit, parse_pytest, parse_gotest, score_instance, string_list, instance_validate, repo_commit_validate, scan_diff,
         extract_diff, fenced_block, recount_hunks, validate_diff, prompt_assembly, caps, first_line_preview, stop_reason, run_counters, backoff_delay,
-        retry_after, mock_reply, error_bodies, predictions_rows, task_projection,
+        retry_after, cap_logs, render_template, mock_reply, error_bodies, predictions_rows, task_projection,
     ]
     out: dict[str, Query] = {f.__name__: f for f in named}
     shown = ("rank", "path", "start_line")

@@ -24,19 +24,41 @@ TEMPLATE = (
 )
 
 
-def first_non_space(path: str) -> str:
+LINE_CAP = 16 << 20
+
+
+def _file_system(spark: SparkSession, path: str):
+    """``(file system, path)`` of any store that Spark reads, shared ones too."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def first_non_space(spark: SparkSession, path: str) -> str:
     """The first character that isn't white space; it tells an array from lines."""
-    with open(path, encoding="utf-8") as handle:
-        while piece := handle.read(4096):
-            if piece.strip():
-                return piece.strip()[0]
+    store, where = _file_system(spark, path)
+    handle = store.open(where)
+    try:
+        while (byte := handle.read()) >= 0:
+            if not chr(byte).isspace():
+                return chr(byte)
+    finally:
+        handle.close()
     raise ValueError(f"{path} is empty")
 
 
-def load_instances(spark: SparkSession, path: str) -> DataFrame:
-    """The instances of a JSON array or of JSON lines, validated; a bad file or row is an error."""
-    array = first_non_space(path) == "["
-    rows = spark.read.schema(INSTANCE).option("mode", "FAILFAST").option("multiLine", array).json(path)
+def load_instances(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """The instances of a JSON array or of JSON lines, validated; a bad file, line or row is an error.
+
+    A line holds at most ``LINE_CAP`` bytes. ``limit`` above 0 keeps the first so many of the file.
+    """
+    if first_non_space(spark, path) == "[":
+        rows = spark.read.schema(INSTANCE).option("mode", "FAILFAST").option("multiLine", True).json(path)
+    else:
+        too_long = F.raise_error(F.lit(f"a line of more than {LINE_CAP} bytes")).cast("string")
+        line = F.when(F.octet_length("value") > LINE_CAP, too_long).otherwise(F.col("value"))
+        lines = spark.read.option("lineSep", "\n").text(path).where(F.trim("value") != "")
+        rows = lines.select(F.from_json(line, INSTANCE, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+    rows = rows.limit(limit) if limit > 0 else rows
     lists = rows.select(
         "instance_id", "repo", "base_commit", "problem_statement", "patch", "test_patch",
         string_list(F.col("FAIL_TO_PASS")).alias("fail_to_pass"), string_list(F.col("PASS_TO_PASS")).alias("pass_to_pass"),
@@ -49,16 +71,22 @@ def load_instances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_predictions(predictions: DataFrame, path: str, order: str) -> None:
-    """JSON lines of the three keys, one per attempted task in the given order, also for empty patches."""
+    """JSON lines of the three keys, one per attempted task, also for empty patches.
+
+    The parts are written side by side; read by their names they are in the given order.
+    """
     line = F.to_json(F.struct("instance_id", "model_name_or_path", F.coalesce("model_patch", F.lit("")).alias("model_patch")))
-    predictions.orderBy(order).select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    predictions.orderBy(order).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_report(path: str, aggregates: DataFrame, results: DataFrame, settings: Mapping[str, object]) -> None:
-    """One indented JSON document; the results are one row per instance, mode and k of a sweep."""
-    rows = [json.loads(r) for r in results.toJSON().toLocalIterator()]
-    report = {"generated_at": datetime.now(timezone.utc).isoformat(), **settings, "aggregates": [r.asDict() for r in aggregates.orderBy("mode", "k").toLocalIterator()], "results": rows}
-    Path(path).write_text(json.dumps(report, indent=2, default=str), encoding="utf-8")
+    """One JSON document; the results, one row per instance, mode and k of a sweep, are streamed into it."""
+    head = {"generated_at": datetime.now(timezone.utc).isoformat(), **settings, "aggregates": [r.asDict() for r in aggregates.orderBy("mode", "k").toLocalIterator()]}
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(json.dumps(head, indent=2, default=str).rstrip("}\n") + ',\n  "results": [')
+        for n, row in enumerate(results.toJSON().toLocalIterator()):
+            out.write(("," if n else "") + "\n    " + row)
+        out.write("\n  ]\n}\n")
 
 
 def format_summary(aggregates: DataFrame) -> str:
@@ -70,9 +98,10 @@ def format_summary(aggregates: DataFrame) -> str:
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
     """The embedding cache; a missing one is empty, an unreadable one an error. A JSON file is read as a map."""
-    if not os.path.exists(path):
+    store, where = _file_system(spark, path)
+    if not store.exists(where):
         return spark.createDataFrame([], CACHE)
-    if os.path.isfile(path) and path.endswith(".json"):
+    if path.endswith(".json") and not store.getFileStatus(where).isDirectory():
         text = spark.read.option("wholetext", True).text(path)
         parsed = F.from_json("value", "map<string,array<float>>", {"mode": "FAILFAST"})
         return text.select(F.explode(parsed).alias("key", "vec"))

@@ -5,10 +5,11 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
+from tarnfold import commands
 from tarnfold.operators import chunking
 from tarnfold.operators.config import ChunkConfig
 from tarnfold.plans import evaluate, search
-from tarnfold.sources import endpoints, files, repo_tree
+from tarnfold.sources import endpoints, environment, files, repo_tree
 
 
 def tree(root, entries):
@@ -52,6 +53,50 @@ def test_git_checkout_to_recall(spark, tmp_path):
     assert json.loads((tmp_path / "r.json").read_text())["aggregates"][0]["n"] == 1
 
 
+def test_commands_run_over_checkouts(spark, tmp_path, capsys, monkeypatch):
+    work = tmp_path / "acme" / "calc.git"
+    work.mkdir(parents=True)
+    (work / "calc.py").write_text("def divide(numbers):\n    return numbers\n")
+    (work / "other.py").write_text("x = 1\n")
+    for step in (["init", "-q"], ["config", "user.email", "a@b.test"], ["config", "user.name", "a"], ["add", "."], ["commit", "-qm", "x"]):
+        subprocess.run(["git", *step], cwd=work, check=True)
+    commit = subprocess.run(["git", "rev-parse", "HEAD"], cwd=work, capture_output=True, text=True).stdout.strip()
+    rows = [{**GOOD, "instance_id": i, "repo": "acme/calc", "base_commit": c, "problem_statement": "divide numbers fails", "patch": "+++ b/calc.py"} for i, c in (("a", commit), ("b", "0" * 40), ("c", commit))]
+    path = tmp_path / "i.jsonl"
+    path.write_text("\n".join(map(json.dumps, rows)))
+    common = ["-instances", str(path), "-base-url", f"file://{tmp_path}/"]
+    commands.main(["recall", *common, "-limit", "2", "-k", "5", "-out", str(tmp_path / "r.json")], spark)
+    report = json.loads((tmp_path / "r.json").read_text())
+    by_id = {r["query_id"]: r for r in report["results"]}
+    assert set(by_id) == {"a", "b"} and by_id["a"]["recall_at_k"] == 1.0 and by_id["b"]["error"] and report["aggregates"][0]["errors"] == 1
+    monkeypatch.setenv("LLM_PROVIDER", "mock")
+    commands.main(["predict", *common, "-out", str(tmp_path / "p")], spark)
+    assert spark.read.text(str(tmp_path / "p")).count() == 3
+    commands.main(["search", "-dir", str(work), "-q", "divide"], spark)
+    assert "calc.py:1-3" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        commands.main(["search", "-dir", "."], spark)
+
+
+def test_providers_of_the_environment(spark):
+    assert environment.provider({})[1] == "mock" and environment.provider({"LLM_PROVIDER": " OpenAI ", "OPENAI_API_KEY": "k"})[1] == "gpt-4o"
+    assert environment.provider({"LLM_PROVIDER": "ollama", "LLM_MODEL": "m"})[1] == "m"
+    for bad in ({"LLM_PROVIDER": "anthropic"}, {"LLM_PROVIDER": "openai"}, {"LLM_PROVIDER": "x"}):
+        with pytest.raises(ValueError):
+            environment.provider(bad)
+    e = environment.embedder(spark, {"OPENAI_API_KEY": "k", "EMBED_BASE_URL": "http://h/v1/", "EMBED_CACHE": "c"})
+    assert (e.inner.url, e.name, e.cache, e.inner.headers) == ("http://h/v1/embeddings", "text-embedding-3-small", "c", {"authorization": "Bearer k"})
+
+
+def test_lines_have_a_cap(spark, tmp_path, monkeypatch):
+    path = tmp_path / "d.jsonl"
+    path.write_text(json.dumps({**GOOD, "problem_statement": "p" * 500}) + "\n" + json.dumps(GOOD))
+    assert files.load_instances(spark, str(path), 1).count() == 1
+    monkeypatch.setattr(files, "LINE_CAP", 400)
+    with pytest.raises(Exception, match="more than 400 bytes"):
+        files.load_instances(spark, str(path)).collect()
+
+
 GOOD = {"instance_id": "a", "repo": "x/y", "base_commit": "deadbeef", "problem_statement": "p", "patch": "", "test_patch": "t", "FAIL_TO_PASS": ["t::a"], "PASS_TO_PASS": []}
 
 

@@ -1,20 +1,22 @@
 """Defective prompt and response pairs, by a multi-label linear classifier.
 
-Method. A pair (problem statement, reply) becomes a sparse vector: hashed word
-n-grams (one to three words) of the reply's prose, and pair features: how much of
-the reply repeats the statement and what it adds, whether it has a diff, how it
-ends, in which natural languages both are, their lengths. One logistic regression per
-defect is trained on synthetic defects made from real pairs: replies cut at random
-places, statements copied (quoted, fenced, wrapped, shortened), replies swapped
-with those in other languages, refusals, and emptied replies. Thresholds are
+Method. A pair (problem statement, reply and its error message) becomes a sparse
+vector: hashed word n-grams (one to three words) of the reply's prose, the tokens it
+ends with, the words of the error, and pair features: how much of the reply repeats
+the statement and what it adds, whether it has a diff, how it ends, in which natural
+languages both are, their lengths. One logistic regression per defect is trained on
+synthetic defects made from real pairs: replies cut at random places (wherever that
+is, also where the rest looks whole), statements copied (quoted, fenced, wrapped,
+shortened), replies swapped with those in other languages, refusals, and emptied
+replies; each has an error that the table holds for such a reply. Thresholds are
 calibrated on held-out synthetic pairs for the best F1. Real pairs that the first
-model finds defective are left out of the second round's clean examples.
+round's model finds defective leave the second round's clean examples. Cues of declining are features beside the n-grams.
 
 The classifier is fitted on at most ``TRAIN_PAIRS`` pairs (the smallest hashes of
-the id, so that a rerun fits the same model); all else covers every row. Scoring
-runs over Arrow batches next to the join of predictions and instances.
+the id, so that a rerun fits the same model); all else covers every row. The sample is
+taken before the join with the instances; scoring runs over Arrow batches next to it.
 
-Defined results: a null or blank reply is ``empty``; a null statement has no
+Defined results: a null reply is read as an empty text, which the model judges like any other; a null statement has no
 words, so its reply is never a copy nor in another language; a null error counts as
 no error. At most one defect is reported per prediction, in the order of ``KINDS``. Instances loaded
 twice are joined once; an empty table gives no rows.
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnfold.llm.truncation import BROKEN, COMPLETE, MARKED, diff_part, reply_ending
+from tarnfold.session import cut
 
 KINDS = ("empty", "refusal", "copy", "other_language", "truncated")
 TRAIN_PAIRS = 1000
@@ -159,8 +162,14 @@ def _shingles(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+_SENTENCE = re.compile(r"(?<=[.。])\s*")
 _TOKENS = re.compile(r"[一-鿿]|[^\W_]+", re.UNICODE)
 DENSE = 34
+TURNS = 2
+#: How often defects are made of each pair, so that no threshold hangs on a few draws; more often for few pairs.
+DRAWS, LEAST_PAIRS = 2, 120
+#: The clean pair of a table that has none.
+STOCK = ("Reader fails on empty input\n\nThe reader raises an error when the file holds no line at all.", "The reader returns early now, and a test covers the empty file.")
 
 
 @dataclass
@@ -180,7 +189,16 @@ def read_statement(text: str | None) -> Statement:
     return Statement(np.unique(_shingles(_hashes(tokens), 3)), len(tokens), languages(prose(text)), frozenset(_TOKENS.findall(text.strip().split("\n", 1)[0].lower())), text)
 
 
-def features(statement: Statement, raw: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ending(raw: str) -> list[str]:
+    """The last tokens by their distance from the end, how the last line begins and what it ends with."""
+    last = raw.rstrip().rsplit("\n", 1)[-1]
+    tokens = re.findall(r"\w+|[^\w\s]", last)[-4:]
+    shapes = ["9" if t[0].isdigit() else ("a" if t.islower() else "A") + str(min(9, len(t))) if t[0].isalpha() else t for t in tokens]
+    out = [f"end{len(shapes) - i} {x}" for i, x in enumerate(shapes)] + [f"word {t}" for t in tokens[-1:]]
+    return [*out, "line " + last[:1], "ends " + " ".join(shapes[-2:]), "newline" if raw.endswith("\n") else "no newline"]
+
+
+def features(statement: Statement, raw: str | None, err: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(buckets, weights, dense)`` of a pair."""
     raw = raw or ""
     if "\r" in raw:
@@ -194,6 +212,9 @@ def features(statement: Statement, raw: str | None) -> tuple[np.ndarray, np.ndar
     grams = np.concatenate([h, _shingles(h, 2) ^ 0x5BD1, _shingles(h, 3) ^ 0x2C9B]) ^ (0x1F35A7 if diff else 0)
     buckets = np.abs(grams * 2654435761 % 4294967296) % BUCKETS
     weights = np.full(len(buckets), 1.5 / np.sqrt(max(8, len(buckets))))
+    marks = _hashes([*_ending(raw), *("err " + w for w in _TOKENS.findall((err or "").lower()))]) ^ 0x7A3D5
+    buckets = np.concatenate([buckets, np.abs(marks * 2654435761 % 4294967296) % BUCKETS])
+    weights = np.concatenate([weights, np.full(len(marks), 0.3)])
     # A reply with a diff repeats the statement in its prose only; another one may repeat its code as well.
     tokens = words if diff else _TOKENS.findall(raw.lower())
     s = _shingles(h if diff else _hashes(tokens), 3)
@@ -266,7 +287,7 @@ class Model:
 
 
 #: How fast the n-gram weights of each kind learn; the kinds that pair features define hardly need any.
-SPARSE_RATE = np.array([0.05, 0.3, 0.02, 0.02, 0.02])
+SPARSE_RATE = np.array([0.1, 0.3, 0.02, 0.02, 0.1])
 BATCH = 32
 
 
@@ -323,13 +344,27 @@ def _name(text: str, rng: np.random.RandomState) -> str:
     return names[rng.randint(len(names))] if names else "the module"
 
 
-def synthesize(pairs: list[tuple[Statement, str]], replies: list[tuple[str, np.ndarray]], rng: np.random.RandomState) -> tuple[list[Row], list[list[float]]]:
-    """Rows and labels: each clean pair, and defects made of it. ``replies`` with their languages serve for swaps."""
+def _state(raw: str) -> int:
+    """What a pipeline's error mostly depends on: no text, no diff, or a diff."""
+    return 2 if diff_part(raw)[0] else 1 if _BLANK.sub("", raw) else 0
+
+
+Pair = tuple[Statement, str, str]
+
+
+def synthesize(
+    pairs: list[Pair], replies: list[tuple[str, np.ndarray]], errors: dict[int, list[str]], rng: np.random.RandomState
+) -> tuple[list[Row], list[list[float]]]:
+    """Rows and labels: each clean pair, and defects made of it.
+
+    ``replies`` with their languages serve for swaps; ``errors`` are those of real replies of each state.
+    """
     rows: list[Row] = []
     labels: list[list[float]] = []
 
-    def add(statement: Statement, raw: str, *kinds: str) -> None:
-        rows.append(features(statement, raw))
+    def add(statement: Statement, raw: str, *kinds: str, err: str | None = None) -> None:
+        known = errors.get(_state(raw)) or [""]
+        rows.append(features(statement, raw, known[rng.randint(len(known))] if err is None else err))
         labels.append([float(k in kinds) for k in KINDS])
 
     # Replies by language, so that a swap meets rare languages as well.
@@ -337,8 +372,8 @@ def synthesize(pairs: list[tuple[Statement, str]], replies: list[tuple[str, np.n
     for raw, tongue in replies:
         if tongue.sum() > 0.9:
             by_tongue.setdefault(int(tongue.argmax()), []).append(raw)
-    for n, (statement, raw) in enumerate(pairs):
-        add(statement, raw)
+    for n, (statement, raw, err) in enumerate(pairs):
+        add(statement, raw, err=err)
         if n % 6 == 0:
             add(statement, EMPTIES[rng.randint(len(EMPTIES))], "empty")
         if len(raw) > 80 and n % 2 == 0:
@@ -346,8 +381,7 @@ def synthesize(pairs: list[tuple[Statement, str]], replies: list[tuple[str, np.n
             part = raw[:cut_at]
             if rng.rand() < 0.1:
                 part += ("…", " [cut]", "\n[... truncated]")[rng.randint(3)]
-            if reply_ending(part) > COMPLETE:
-                add(statement, part, "truncated")
+            add(statement, part, "truncated")
         if len(statement.text) > 60 and n % 2 == 1:
             text = statement.text
             if rng.rand() < 0.25:
@@ -367,7 +401,7 @@ def synthesize(pairs: list[tuple[Statement, str]], replies: list[tuple[str, np.n
             add(statement, "Sorry for the delay, I cannot test all of it. " + raw)
         if n % 9 == 7 and not diff_part(raw)[0]:  # nor is one before an explanation
             add(statement, "Sorry for the wait. I can't test this here. " + raw)
-        sentences = [x for x in re.split(r"(?<=[.。])\s*", statement.text.split("\n", 1)[-1]) if 20 < len(x) < 300 and "\n" not in x]
+        sentences = [x for x in _SENTENCE.split(statement.text.split("\n", 1)[-1]) if 20 < len(x) < 300 and "\n" not in x]
         if n % 9 == 2 and len(sentences) > 2:  # nor do some of the statement's sentences make one
             picked = [sentences[i] for i in rng.permutation(len(sentences))[: rng.randint(2, 6)]]
             add(statement, " ".join(picked))
@@ -391,19 +425,24 @@ def _credible(statement: Statement, raw: str) -> bool:
     return not (dense[8] > 0.8 and dense[10] > 0.4)
 
 
-def train(pairs: list[tuple[str | None, str | None]], seed: int = 3) -> Model:
-    """Two rounds; the second leaves real pairs out that the first finds defective."""
-    base = [(read_statement(s), r) for s, r in pairs if r and _BLANK.sub("", r)]
-    replies = [(r, languages(prose(r))) for _, r in base if reply_ending(r) == COMPLETE]
-    base = [(s, r) for s, r in base if reply_ending(r) == COMPLETE and _credible(s, r)]
+def train(pairs: list[tuple[str | None, str | None, str | None]], seed: int = 3) -> Model:
+    """The second round leaves real pairs out that the first finds defective."""
+    real = [(read_statement(s), r or "", e or "") for s, r, e in pairs]
+    errors: dict[int, list[str]] = {}
+    for _, r, e in real:
+        errors.setdefault(_state(r), []).append(e)
+    replies = [(r, languages(prose(r))) for _, r, _ in real if reply_ending(r) == COMPLETE and _state(r)]
+    base = [(s, r, e) for s, r, e in real if _state(r) and reply_ending(r) == COMPLETE and _credible(s, r)]
+    base = base or [(read_statement(STOCK[0]), STOCK[1], "")]
     model = None
-    for turn in range(2):
+    for turn in range(TURNS):
         if model is not None:
-            base = [(s, r) for s, r in base if not (model.scores(features(s, r)) > model.thresholds).any()] or base
+            over = [model.scores(features(*p)) - model.thresholds for p in real]
+            fine = {id(p[0]) for p, x in zip(real, over, strict=True) if not (x > 0).any()}
+            base = [p for p in base if id(p[0]) in fine] or base
         rng = np.random.RandomState(seed + turn)
-        rows, labels = synthesize(base, replies, rng)
-        if not rows:
-            return Model(np.zeros((BUCKETS, len(KINDS))), np.zeros((DENSE, len(KINDS))), np.full(len(KINDS), 1e9))
+        draws = [synthesize(base, replies, errors, rng) for _ in range(max(DRAWS, -(-LEAST_PAIRS // len(base))))]
+        rows, labels = [r for d in draws for r in d[0]], [x for d in draws for x in d[1]]
         target = np.array(labels)
         held = np.arange(len(rows)) % 4 == 3
         fitted = _fit([r for r, h in zip(rows, held, strict=True) if not h], target[~held], seed)
@@ -416,17 +455,14 @@ def _score(model: Model):
         seen: dict[str, Statement] = {}
         for batch in batches:
             out = []
-            for i, text, raw in zip(batch.prediction_id, batch.problem_statement, batch.raw, strict=True):
-                if not raw or not _BLANK.sub("", raw):
-                    out.append((i, "empty", 1.0))
-                    continue
+            for i, text, raw, err in zip(batch.prediction_id, batch.problem_statement, batch.raw, batch.err, strict=True):
                 statement = seen.get(text or "")
                 if statement is None:
                     if len(seen) > 64:
                         seen.clear()
                     statement = seen[text or ""] = read_statement(text)
-                over = model.scores(features(statement, raw)) - model.thresholds
-                kind = next((k for k, x in enumerate(over) if x > 0 and KINDS[k] != "empty"), None)
+                over = model.scores(features(statement, raw, err)) - model.thresholds
+                kind = next((k for k, x in enumerate(over) if x > 0), None)
                 if kind is not None:
                     out.append((i, KINDS[kind], float(over[kind])))
             yield pd.DataFrame(out, columns=["prediction_id", "defect_type", "score"])
@@ -435,23 +471,24 @@ def _score(model: Model):
 
 
 def joined_pairs(predictions: DataFrame, instances: DataFrame) -> DataFrame:
-    """``(prediction_id, raw, problem_statement)``; an instance loaded twice counts once."""
+    """``(prediction_id, raw, err, problem_statement)``; an instance loaded twice counts once."""
     statements = instances.groupBy("instance_id").agg(F.min("problem_statement").alias("problem_statement"))
-    return predictions.select("prediction_id", "instance_id", "raw").join(statements, "instance_id", "left").drop("instance_id")
+    return predictions.select("prediction_id", "instance_id", "raw", "err").join(statements, "instance_id", "left").drop("instance_id")
 
 
-def fit_classifier(pairs: DataFrame, predictions: DataFrame, bound: int = TRAIN_PAIRS) -> Model:
+def fit_classifier(predictions: DataFrame, instances: DataFrame, bound: int = TRAIN_PAIRS) -> Model:
     """The model of about ``bound`` pairs, those of the smallest hashes; never of more than twice as many."""
     share = min(1.0, bound / max(1, predictions.count()))
-    taken = pairs.where(F.pmod(F.xxhash64("prediction_id", F.lit(7)), F.lit(10_000_000)) < F.lit(int(share * 10_000_000)))
-    sample = sorted(taken.limit(2 * bound).collect(), key=lambda r: r.prediction_id)
-    return train([(r.problem_statement, r.raw) for r in sample])
+    taken = predictions.where(F.pmod(F.xxhash64("prediction_id", F.lit(7)), F.lit(10_000_000)) < F.lit(int(share * 10_000_000))).limit(2 * bound)
+    taken = cut(taken.select("prediction_id", "instance_id", "raw", "err"))
+    some = instances.join(F.broadcast(taken.select("instance_id").distinct()), "instance_id", "left_semi")  # at most 2 * bound ids
+    sample = sorted(joined_pairs(taken, some).collect(), key=lambda r: r.prediction_id)
+    return train([(r.problem_statement, r.raw, r.err) for r in sample])
 
 
 def defects(predictions: DataFrame, instances: DataFrame, bound: int = TRAIN_PAIRS) -> DataFrame:
     """``(prediction_id, defect_type, score)`` of each defective pair."""
-    pairs = joined_pairs(predictions, instances)
-    return pairs.mapInPandas(_score(fit_classifier(pairs, predictions, bound)), FOUND)
+    return joined_pairs(predictions, instances).mapInPandas(_score(fit_classifier(predictions, instances, bound)), FOUND)
 
 
 def found(predictions: DataFrame, instances: DataFrame) -> DataFrame:

@@ -67,8 +67,8 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(count_tokens(tokenizer), "doc_id bigint, tokens int")
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES) -> np.ndarray:
-    """The container of each size (none above the capacity), numbered from 0."""
+def pack(sizes: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES, top_up: bool = True) -> np.ndarray:
+    """The container of each size (none above the capacity), numbered from 0. ``top_up`` = false is plain harmonic packing."""
     n = len(sizes)
     bins = np.full(n, -1, dtype=np.int64)
     if n == 0:
@@ -101,7 +101,7 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES) ->
             free -= int(sizes[i])
             fixed += 1
         # The rest of the container: the largest documents that still fit.
-        while keys and (i := take_at_most(free)) >= 0:
+        while keys and (top_up or j >= classes) and (i := take_at_most(free)) >= 0:
             bins[i] = number
             free -= int(sizes[i])
         room.append(free)

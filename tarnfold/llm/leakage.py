@@ -140,8 +140,8 @@ def overlaps(docs: list[np.ndarray], items: list[np.ndarray], pair: np.ndarray,
 SEEDED = "key bigint, id bigint, words array<bigint>, seeds array<struct<h: bigint, p: int>>"
 
 
-def _seeded(sketch: np.ndarray | None):
-    """Texts -> their word hashes and seeds; with a sketch, only those texts and seeds that it lets through."""
+def _seeded(sketch: np.ndarray | None, masks: int = 1):
+    """Texts -> their word hashes and seeds; with a sketch, only those texts and places that it lets through by ``masks`` masks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,7 +152,8 @@ def _seeded(sketch: np.ndarray | None):
                 h, at = seeds(hashes, starts)
                 h = h.view(np.int64)
                 if sketch is not None:
-                    keep = np.flatnonzero(maybe(sketch, h))
+                    through = maybe(sketch, h).reshape(len(MASKS), -1)
+                    keep = np.flatnonzero(through & (through.sum(axis=0) >= masks))
                     h, at = h[keep], at[keep]
                 owner = np.searchsorted(starts, at, side="right") - 1
                 order = np.argsort(owner, kind="stable")
@@ -201,7 +202,7 @@ def leaked_overlaps(documents: DataFrame, items: DataFrame, masks: int = 1) -> D
     sketch = spark.sparkContext.broadcast(bitmap(wanted.select("h")))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _seeded(sketch.value)(batches)
+        return _seeded(sketch.value, masks)(batches)
 
     hits = cut(_texts(documents, "doc_id").mapInPandas(scan, SEEDED))
     seeds_of = cut(hits.select("key", F.explode("seeds").alias("s")).select("key", "s.h", F.col("s.p").alias("p")).distinct())

@@ -33,12 +33,18 @@ def _search(ids: np.ndarray, queries: np.ndarray, k: int, decimals: int):
         for batch in batches:
             if not len(batch):
                 continue
+            batch = batch.sort_values("vec_id", kind="stable")
             sims = np.round(queries @ _matrix(batch.vec, queries.shape[1]).T, decimals)
             own = batch.vec_id.to_numpy()
             keep = min(len(own), k + 1)
-            # Beyond the k + 1 best of a batch only equal cosines could matter; they are kept as well.
+            # The k + 1 best of a batch; of equal cosines at the edge those of the smallest ids, so copies of a vector don't pile up.
             edge = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1 : keep]
-            q, v = np.nonzero(sims >= edge)
+            chosen = sims >= edge
+            crowded = np.flatnonzero(chosen.sum(axis=1) > keep)
+            if len(crowded):
+                above, tied = sims[crowded] > edge[crowded], sims[crowded] == edge[crowded]
+                chosen[crowded] = above | tied & (np.cumsum(tied, axis=1) <= keep - above.sum(axis=1, keepdims=True))
+            q, v = np.nonzero(chosen)
             yield pd.DataFrame({"query_id": ids[q], "vec_id": own[v], "score": sims[q, v]})
 
     return run

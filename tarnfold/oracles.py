@@ -225,6 +225,10 @@ SQL = {
     "caps": "SELECT doc_id, md5(substring(text, 1, 100)) AS query, md5(CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || chr(10) || '… (truncated)' ELSE text END) AS excerpt FROM documents WHERE text IS NOT NULL",
     "cap_logs": f"""SELECT doc_id, md5(CASE WHEN strlen(text) > 16384 THEN {_byte_cut('text', 16384)} || chr(10) || '...[truncated]' ELSE text END) AS log,
         md5(CASE WHEN strlen(text) > 1000 THEN {_byte_cut('text', 1000)} || chr(10) || '...[truncated]' ELSE text END) AS short FROM documents WHERE text IS NOT NULL""",
+    "mock_predictions": f"""WITH {BM25}, f AS (SELECT instance_id, list(path ORDER BY r) AS files FROM (SELECT instance_id, path, min(rank) AS r FROM lex WHERE rank <= 10 GROUP BY 1, 2) GROUP BY 1)
+        SELECT instance_id, 'mock' AS model_name_or_path, md5('--- a/src/main.py' || chr(10) || '+++ b/src/main.py' || chr(10) || '@@ -1,1 +1,1 @@' || chr(10) || '-a' || chr(10) || '+b' || chr(10)) AS patch,
+        'src/main.py' AS changed, coalesce(array_to_string(files, '|'), '') AS retrieved, coalesce(list_contains(files, 'src/main.py'), false) AS plausible_hit, '' AS err FROM inst LEFT JOIN f USING (instance_id)""",
+    "embed_fresh": """SELECT item_id, 64 AS dim, text NOT IN (SELECT text FROM eval_items WHERE item_id % 2 = 0 AND text IS NOT NULL) AS new FROM eval_items WHERE text IS NOT NULL""",
     "render_template": f"""SELECT corpus_id, replace('{TEMPLATE}', '{{{{.Repo}}}}', repo) AS prompt FROM corpora""",
     "first_line_preview": f"""WITH {CHUNKS}, l AS (SELECT chunk_id, coalesce(list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '{TRIM}', '', 'g')), lambda x: x <> '')[1], '') AS l FROM ch)
         SELECT chunk_id, CASE WHEN strlen(l) > 100 THEN {_byte_cut('l', 100)} || '…' ELSE l END AS preview FROM l""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnfold.functions import diffs, scalars, text, vectors
 from tarnfold.operators import chunking, context, embedding, hybrid, lexical, logs, prompts, recall, semantic
 from tarnfold.operators.config import ChunkConfig, effective_overlap, effective_window
+from tarnfold.plans import predict
 from tarnfold.session import table
 from tarnfold.sources.files import TEMPLATE
 
@@ -346,6 +347,31 @@ def render_template(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpora").select("corpus_id", prompts.system_prompts(F.col("repo"), TEMPLATE).alias("prompt"))
 
 
+#: The canned reply of a provider without a model, whose key every system prompt holds, and the patch in it.
+CANNED_PATCH = "--- a/src/main.py\n+++ b/src/main.py\n@@ -1,1 +1,1 @@\n-a\n+b\n"
+CANNED = {"repository": f"Here it is:\n\n```diff\n{CANNED_PATCH}```\n"}
+
+
+def mock_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """The prediction plan over every instance: prompts, replies of a provider without a model, diffs, plausibility."""
+    ctx = _lexical(spark, d, K).select("query_id", "rank", "chunk_id").join(_chunks(spark, d), "chunk_id")
+    tasks = _instances(spark, d).select(F.col("instance_id").alias("query_id"), "repo", F.col("problem_statement").alias("text"))
+    rows = predict.predictions(tasks, ctx, predict.mock_provider(CANNED), "mock")
+    return rows.select(
+        "instance_id", "model_name_or_path", F.md5("model_patch").alias("patch"), F.concat_ws("|", "changed_files").alias("changed"),
+        F.concat_ws("|", "retrieved_files").alias("retrieved"), "plausible_hit", F.coalesce("err", F.lit("")).alias("err"),
+    )
+
+
+def embed_fresh(spark: SparkSession, d: str) -> DataFrame:
+    """What a cached embedder adds to a cache that holds the texts of even items."""
+    items = table(spark, d, "eval_items").where("text is not null")
+    embedder = embedding.MockEmbedder()
+    known = embedder.embed(items.where("item_id % 2 = 0")).select(vectors.cache_key(embedder.name, F.col("text")).alias("key"), "vec").dropDuplicates(["key"])
+    embedded, fresh = embedding.embed_cached(items.select("item_id", "text"), known, embedder)
+    return embedded.join(fresh.select("vec").distinct().withColumn("new", F.lit(True)), "vec", "left").select("item_id", F.size("vec").alias("dim"), F.coalesce("new", F.lit(False)).alias("new"))
+
+
 def first_line_preview(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).select("chunk_id", text.first_line(F.col("content")).alias("preview"))
 
@@ -408,7 +434,7 @@ def queries() -> dict[str, Query]:
         reply_order, rrf_hybrid_topk, changed_files, recall_at_k, recall_sweep, recall_summary, summarize, format_table, failed_rows, sorted_unique_ks,
         distinct_files, plausible_hit, parse_pytest, parse_gotest, score_instance, string_list, instance_validate, repo_commit_validate, scan_diff,
         extract_diff, fenced_block, recount_hunks, validate_diff, prompt_assembly, caps, first_line_preview, stop_reason, run_counters, backoff_delay,
-        retry_after, cap_logs, render_template, mock_reply, error_bodies, predictions_rows, task_projection,
+        retry_after, cap_logs, render_template, mock_predictions, embed_fresh, mock_reply, error_bodies, predictions_rows, task_projection,
     ]
     out: dict[str, Query] = {f.__name__: f for f in named}
     shown = ("rank", "path", "start_line")

@@ -53,7 +53,7 @@ ALPHA = 1.2
 EXPAND = 4
 FIT_SAMPLE = 40_000
 #: A shard holds so many vectors; fewer, down to the second figure, where that gives at least SHARDS of them.
-SHARD_TARGET, SHARD_LEAST, SHARDS = 20_000, 3_000, 48
+SHARD_TARGET, SHARD_LEAST, SHARDS = 20_000, 6_000, 48
 SHARD_MAX = 60_000
 QUERY_MAX = 120_000
 CALIBRATE = 512

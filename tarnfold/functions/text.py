@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 #: Unicode white space as a character class body that Java and RE2 read alike.
 SPACE = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 JAVA_SPACE = SPACE.replace(r"\x{85}", r"\x85").replace(r"\x{A0}", r"\xA0")
-#: Positions within a word where an identifier falls into parts.
+#: The characters of a word behind which an identifier falls into parts.
 PART_BREAK = (
-    r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{Nd})(?=\p{L})|(?<=\p{L})(?=\p{Nd})"
+    r"\p{Ll}(?=[\p{Lu}\p{Nd}])|\p{Lu}(?=\p{Nd}|\p{Lu}\p{Ll})|\p{Nd}(?=\p{L})|[\p{L}&&[^\p{Ll}\p{Lu}]](?=\p{Nd})"
 )
 MARK = "\x01"
 TRUNCATED = "\n… (truncated)"
@@ -33,7 +33,7 @@ def fields(text: Column) -> Column:
 
 def _marked(text: Column) -> Column:
     """Part breaks marked by one character, so that each text is scanned twice, not each word."""
-    return F.regexp_replace(F.translate(text, MARK, " "), PART_BREAK, MARK)
+    return F.regexp_replace(F.translate(text, MARK, " "), PART_BREAK, "$0" + MARK)
 
 
 def split_identifier(word: Column) -> Column:
@@ -68,7 +68,8 @@ def marked(text: Column) -> Column:
 def term_count(marked_text: Column) -> Column:
     """How many terms a marked text has: its parts, and each word of several parts once more."""
     parts = F.regexp_count(marked_text, F.lit(WORD_CLASS + "+"))
-    several = F.regexp_count(marked_text, F.lit(rf"{WORD_CLASS}+(?:{MARK}{WORD_CLASS}+)+"))
+    # From the first mark of a word to its end, without a repeated group: Java matches those by recursion, as deep as a word has parts.
+    several = F.regexp_count(marked_text, F.lit(rf"{MARK}[\p{{L}}\p{{Nd}}{MARK}]*+"))
     return parts + several
 
 

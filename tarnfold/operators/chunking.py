@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.functions.text import is_blank
 from tarnfold.operators.config import ChunkConfig
+from tarnfold.operators.sketches import bitmap, maybe
 
 
 def walk_key(path: Column) -> Column:
@@ -55,6 +57,26 @@ def usable_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
+def sole_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(sole, others)``: together the rows of ``usable_chunks``.
+
+    ``sole`` are rows whose window and whose chunk_id no other row has, where they are read; a Bloom filter
+    of what is repeated keeps them from the shuffle. A chunk_id is in one of the two only.
+    """
+    there = chunks.where(F.col("content").isNotNull())
+    window = F.xxhash64(F.lit("window"), "corpus_id", "path", "start_line")
+    own = F.xxhash64(F.lit("chunk"), "chunk_id")
+    counted = there.select(F.explode(F.array(window, own)).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    sketch = chunks.sparkSession.sparkContext.broadcast(bitmap(counted.where("n > 1").select("h")))
+
+    @F.pandas_udf("boolean")
+    def shared(w: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(maybe(sketch.value, w.to_numpy()) | maybe(sketch.value, c.to_numpy()))
+
+    columns = ("corpus_id", "path", "start_line", "chunk_id", "end_line", "content")
+    return there.where(~shared(window, own)).select(*columns), usable_chunks(there.where(shared(window, own)))
+
+
 def cap_chunks(chunks: DataFrame, most: int) -> DataFrame:
     """The first ``most`` chunks of each corpus in walk order."""
     order = Window.partitionBy("corpus_id").orderBy(walk_key(F.col("path")), "start_line")

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.text import explode_terms, marked, term_count
+from tarnfold.functions.text import explode_terms, marked, term_count, unique_terms
+from tarnfold.operators.chunking import sole_chunks
 from tarnfold.session import cut
 
 K1, B = 1.5, 0.75
@@ -58,6 +59,24 @@ def lexical_index(chunks: DataFrame, wanted: DataFrame | None = None) -> Lexical
     return LexicalIndex(postings, df, stats, chunks)
 
 
+def _postings(chunks: DataFrame) -> DataFrame:
+    """``(corpus_id, term, chunk_id, dl, f)`` of every term, not written."""
+    texts = chunks.select("corpus_id", "chunk_id", marked(F.col("content")).alias("_m")).withColumn("dl", term_count(F.col("_m")))
+    flat = explode_terms(texts, "_m", "corpus_id", "chunk_id", "dl")
+    return flat.groupBy("corpus_id", "term", "chunk_id", "dl").agg(F.count("*").alias("f"))
+
+
+def document_frequencies(chunks: DataFrame) -> DataFrame:
+    """``(corpus_id, term, df)`` of all terms of a chunk table; redelivered windows count once.
+
+    Postings of a whole table are many times its size, so none are written: terms of chunks that
+    stand alone are made distinct within their row, only repeated windows and ids meet by a shuffle.
+    """
+    sole, others = sole_chunks(chunks)
+    rows = sole.select("corpus_id", F.explode(unique_terms(F.col("content"))).alias("term"))
+    return rows.unionByName(_postings(others).select("corpus_id", "term")).groupBy("corpus_id", "term").agg(F.count("*").alias("df"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(query_id, corpus_id, term)``: the distinct terms of ``queries(query_id, corpus_id, text)``."""
     rows = queries.select("query_id", "corpus_id", marked(F.col("text")).alias("_m"))

@@ -232,7 +232,7 @@ def split_identifier(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.lexical_index(_chunks(spark, d)).df.select("corpus_id", "term", "df")
+    return lexical.document_frequencies(table(spark, d, "chunks"))
 
 
 def term_freq(spark: SparkSession, d: str) -> DataFrame:

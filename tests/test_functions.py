@@ -49,6 +49,13 @@ def test_terms_equal_a_plain_model(spark, values):
     assert {r.i: r.n for r in counted.collect()} == {i: len(model_terms(v)) for i, v in enumerate(values)}
 
 
+def test_terms_of_words_with_many_parts_are_counted(spark):
+    """A word of 40,000 parts, as encoded data has them, is no deeper recursion than any other."""
+    rows = spark.createDataFrame([(1, "a1" * 20_000 + " plain fooBar"), (2, "x1y")], "i int, x string").repartition(2)
+    got = rows.select("i", text.term_count(text.marked(F.col("x"))).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {1: 40_001 + 1 + 3, 2: 4}
+
+
 DIFF = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@\n a\n-b\n+c"
 
 

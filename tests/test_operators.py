@@ -51,6 +51,23 @@ def test_bm25_finds_the_right_file_and_nothing_for_unknown_words(spark):
     assert lexical.bm25_topk(ask(spark, "fizz"), c, 0).count() == 0
 
 
+#: Redelivered windows, chunk_ids that several windows share, words of many parts, nulls, no terms.
+ODD = [
+    ("c", 1, "a.go", 1, 2, "fooBar foo FOO x"), ("c", 2, "a.go", 1, 2, "never"), ("c", 3, "b.go", 1, 2, "foo bar"), ("c", 3, "c.go", 1, 2, "bar baz"), ("c", 3, "d.go", 1, 2, "foo foo foo"),
+    ("d", 3, "a.go", 1, 2, "foo qux"), ("d", 4, "b.go", 1, 2, None), ("d", 5, "b.go", 1, 2, "zwei drei zwei"), ("d", 6, "e.go", 1, 2, "--"), ("d", 7, "f.go", 1, 2, "a1" * 20_000),
+]
+
+
+def test_document_frequencies_of_a_whole_table_write_no_postings(spark, monkeypatch):
+    rows = spark.createDataFrame(ODD, CHUNKS)
+    want = sorted(map(tuple, lexical.lexical_index(chunking.usable_chunks(rows)).df.collect()))
+    monkeypatch.setattr(lexical, "cut", None)
+    assert sorted(map(tuple, lexical.document_frequencies(rows).collect())) == want
+    assert lexical.document_frequencies(rows.where("false")).count() == 0
+    sole, others = chunking.sole_chunks(rows)
+    assert sorted(r.chunk_id for r in sole.collect()) == [5, 6, 7] and sorted(r.chunk_id for r in others.collect()) == [1, 3, 3, 3, 3]
+
+
 def test_smaller_k_is_a_prefix(spark):
     c = chunks(spark, [(f"f{i}", 1, "alpha beta " * (i % 4 + 1) + "gamma") for i in range(12)])
     many = [(r.rank, r.path) for r in lexical.bm25_topk(ask(spark, "alpha beta gamma"), c, 10).orderBy("rank").collect()]

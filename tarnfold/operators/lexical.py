@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.text import explode_terms, marked, term_count, unique_terms
+from tarnfold.functions.text import WORD_CLASS, explode_terms, marked, term_count, terms, unique_terms
 from tarnfold.operators.chunking import sole_chunks
 from tarnfold.session import cut
 
@@ -77,6 +77,30 @@ def document_frequencies(chunks: DataFrame) -> DataFrame:
     return rows.unionByName(_postings(others).select("corpus_id", "term")).groupBy("corpus_id", "term").agg(F.count("*").alias("df"))
 
 
+def _largest_count(words: Column) -> Column:
+    """How often the most frequent term of a list is in it."""
+    start = F.struct(F.lit("").alias("term"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("most"))
+
+    def step(state: Column, term: Column) -> Column:
+        run = F.when(state["term"] == term, state["run"] + 1).otherwise(F.lit(1).cast("bigint"))
+        return F.struct(term.alias("term"), run.alias("run"), F.greatest(state["most"], run).alias("most"))
+
+    return F.aggregate(F.sort_array(words), start, step, lambda state: state["most"])
+
+
+def term_frequencies(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, dl, terms, tokens, most)`` of a chunk table: distinct terms, all terms, the most frequent one's count.
+
+    Made where chunks are read, as ``document_frequencies``; chunks without terms have no row.
+    """
+    sole, others = sole_chunks(chunks)
+    rows = sole.where(F.col("content").rlike(WORD_CLASS)).select("chunk_id", terms(F.col("content")).alias("_t"))
+    size = F.size("_t")
+    alone = rows.select("chunk_id", size.alias("dl"), F.size(F.array_distinct("_t")).cast("bigint").alias("terms"), size.cast("bigint").alias("tokens"), _largest_count(F.col("_t")).alias("most"))
+    met = _postings(others).groupBy("chunk_id", "dl").agg(F.count("*").alias("terms"), F.sum("f").alias("tokens"), F.max("f").alias("most"))
+    return alone.unionByName(met)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(query_id, corpus_id, term)``: the distinct terms of ``queries(query_id, corpus_id, text)``."""
     rows = queries.select("query_id", "corpus_id", marked(F.col("text")).alias("_m"))

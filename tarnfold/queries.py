@@ -236,8 +236,7 @@ def doc_freq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_freq(spark: SparkSession, d: str) -> DataFrame:
-    p = lexical.lexical_index(_chunks(spark, d)).postings
-    return p.groupBy("chunk_id", "dl").agg(F.count("*").alias("terms"), F.sum("f").alias("tokens"), F.max("f").alias("most"))
+    return lexical.term_frequencies(table(spark, d, "chunks"))
 
 
 def cap_walk_order(spark: SparkSession, d: str) -> DataFrame:

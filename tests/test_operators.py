@@ -68,6 +68,18 @@ def test_document_frequencies_of_a_whole_table_write_no_postings(spark, monkeypa
     assert sorted(r.chunk_id for r in sole.collect()) == [5, 6, 7] and sorted(r.chunk_id for r in others.collect()) == [1, 3, 3, 3, 3]
 
 
+def test_term_frequencies_of_a_whole_table_write_no_postings(spark, monkeypatch):
+    rows = spark.createDataFrame(ODD, CHUNKS)
+    p = lexical.lexical_index(chunking.usable_chunks(rows)).postings
+    want = p.groupBy("chunk_id", "dl").agg(F.count("*").alias("terms"), F.sum("f").alias("tokens"), F.max("f").alias("most"))
+    want, schema = sorted(map(tuple, want.collect())), want.dtypes
+    monkeypatch.setattr(lexical, "cut", None)
+    got = lexical.term_frequencies(rows)
+    assert got.dtypes == schema and sorted(map(tuple, got.collect())) == want
+    assert (7, 40_001, 3, 40_001, 20_000) in want
+    assert lexical.term_frequencies(rows.where("false")).count() == 0
+
+
 def test_smaller_k_is_a_prefix(spark):
     c = chunks(spark, [(f"f{i}", 1, "alpha beta " * (i % 4 + 1) + "gamma") for i in range(12)])
     many = [(r.rank, r.path) for r in lexical.bm25_topk(ask(spark, "alpha beta gamma"), c, 10).orderBy("rank").collect()]

@@ -101,6 +101,14 @@ def term_frequencies(chunks: DataFrame) -> DataFrame:
     return alone.unionByName(met)
 
 
+def corpus_stats(chunks: DataFrame) -> DataFrame:
+    """``(corpus_id, n, avg_dl)`` of a chunk table: lengths are made where chunks are read, so no content is shuffled."""
+    length = term_count(marked(F.col("content")))
+    sized = chunks.where(F.col("content").isNotNull()).select("corpus_id", "path", "start_line", "chunk_id", length.alias("dl"))
+    once = sized.groupBy("corpus_id", "path", "start_line").agg(F.min(F.struct("chunk_id", "dl")).alias("x"))
+    return once.groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("x.dl").alias("avg_dl"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(query_id, corpus_id, term)``: the distinct terms of ``queries(query_id, corpus_id, text)``."""
     rows = queries.select("query_id", "corpus_id", marked(F.col("text")).alias("_m"))

@@ -80,7 +80,7 @@ def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    stats = lexical.lexical_index(_chunks(spark, d)).stats
+    stats = lexical.corpus_stats(table(spark, d, "chunks"))
     return stats.select("corpus_id", "n", F.round("avg_dl", 6).alias("avg_dl"))
 
 

@@ -80,6 +80,14 @@ def test_term_frequencies_of_a_whole_table_write_no_postings(spark, monkeypatch)
     assert lexical.term_frequencies(rows.where("false")).count() == 0
 
 
+def test_statistics_of_a_whole_table_write_no_postings(spark, monkeypatch):
+    rows = spark.createDataFrame(ODD, CHUNKS)
+    monkeypatch.setattr(lexical, "cut", None)
+    # Each window counts, as in the SQL, also those that share a chunk_id and a length.
+    assert sorted(map(tuple, lexical.corpus_stats(rows).collect())) == [("c", 4, (6 + 2 + 2 + 3) / 4), ("d", 4, (2 + 3 + 0 + 40_001) / 4)]
+    assert lexical.corpus_stats(rows.where("false")).count() == 0
+
+
 def test_smaller_k_is_a_prefix(spark):
     c = chunks(spark, [(f"f{i}", 1, "alpha beta " * (i % 4 + 1) + "gamma") for i in range(12)])
     many = [(r.rank, r.path) for r in lexical.bm25_topk(ask(spark, "alpha beta gamma"), c, 10).orderBy("rank").collect()]

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnfold.llm import credentials, encoding, leakage, packing, sketches, splitting
+from tarnfold.llm import credentials, encoding, lattices, leakage, packing, sketches, splitting
 
 # ------------------------------------------------------------------ splitting
 
@@ -218,6 +219,62 @@ def test_frequent_damage_is_no_proof_of_itself(spark, copy):
     assert {r.doc_id for r in encoding.found(df).collect()} == set(fixed)
 
 
+LOSSY = ["verfÃ�gÃ�bar", "Ð�Ð¾Ð²Ðµ", "Ã�Â¼", "æµ�", "b�Ã¼c", "Ã¼-Ã�", "ÐŸÑ€Ð¾", "Ã©"]
+
+
+@pytest.mark.parametrize("token", LOSSY)
+def test_lattices_hold_the_readings_that_are_listed(token, monkeypatch):
+    monkeypatch.setattr(encoding, "PATHS", 5000)
+    listed = {(r, k) for r, _, k in encoding.readings(token)}
+    rounds = {}
+    for texts, _, k in encoding.wide_readings(token):
+        for r in lattices.texts(texts):
+            rounds[r] = min(k, rounds.get(r, k))
+    assert set(rounds.items()) == listed
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_best_path_is_that_of_all_paths(seed):
+    rng = random.Random(seed)
+    token = rng.choice(["Ã�-xÃ�", "æµ�è¯�", "Ã¼xÃ�y", "Ð�Ñ�"])
+    unit = re.compile(r"[^\W\d_\u4e00-\u9fff]+|[^\x00-\x7f]")
+    for lattice, _, _ in encoding.wide_readings(token):
+        if not 1 < lattices.count(lattice) <= 5000:
+            continue
+        everything = sorted(r for r in lattices.texts(lattice) if all(c.isascii() or c.isalpha() for c in r))
+        if not everything:
+            continue
+        lattice = lattices.restricted(lattice, lattices.ASCII | lattices.characters(ord(c) for r in everything for c in r))
+        counts = {u: rng.randint(1, 90) for r in rng.sample(everything, min(4, len(everything))) for u in unit.findall(r) if not u.isascii()}
+        total = sum(counts.values()) + 1
+
+        def loss(r):
+            return -sum(math.log10(counts[u] / total) if u in counts else math.log10(0.05 / total) - 0.7 * len(u) for u in unit.findall(r) if not u.isascii())
+
+        score, reading = lattices.best(lattice, counts, total, 0.05, 0.7)
+        assert score == pytest.approx(-min(map(loss, everything))) and loss(reading) == pytest.approx(-score)
+        keys = lattices.asked(lattice)
+        for u in {u for r in everything for u in unit.findall(r) if not u.isascii()}:
+            assert keys & {str(len(u)), *(f"{len(u)}/{i}/{c}" for i, c in enumerate(u))}
+
+
+def test_tokens_with_more_readings_than_are_listed(spark):
+    """Three and more lost bytes in a word, each of 64 values: the corpus word among all of them is found."""
+    words = ["verfügbarübergrößer", "Проверка", "测试只", "Größenänderungsübersicht"]
+    docs = [(i, words[i % 4]) for i in range(40)]
+    lost = ["verfÃ�gbarÃ�bergrÃ�ÃŸer", "ÐŸÑ�Ð�Ð�ÐµÑ�Ð�Ð°", "�".join(re.split("[\x80-\xbf]", words[2].encode().decode("latin-1"))), "GrÃ�ÃŸenÃ�nderungsÃ�bersicht"]
+    for token in lost:
+        with pytest.raises(encoding.TooMany):
+            encoding.readings(token)
+    docs += [(100 + i, f"x {t} y") for i, t in enumerate(lost)]
+    docs += [(200, "turns `ð���` into a smiley"), (201, "x Ã�Ã�Ã�Ã�Ã� y")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    fixed = {r.doc_id: r for r in encoding.restored(df).collect()}
+    assert set(fixed) == {100, 101, 102, 103, 201} == {r.doc_id for r in encoding.found(df).collect()}
+    assert [fixed[100 + i].text for i in range(4)] == [f"x {w} y" for w in words]
+    assert fixed[201].restored_tokens == 1 and encoding.LOST not in fixed[201].text
+
+
 # ------------------------------------------------------------------ credentials
 
 KEY = "MIIEowIBAAKCAQEAu1SU1LfVLPHCozMxH2Mo4lgOEePzNm0tRgeLezV6ffAt0gun"
